@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _LOWER = np.zeros(256, np.uint8)
 _LOWER[0x30:0x3A] = np.arange(0x30, 0x3A)
@@ -118,7 +119,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        size = np.asarray(pa.compute.binary_length(column).fill_null(0)).astype(np.int64) + 16
+        size = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64) + 16
         total, at = np.cumsum(size), 0
         while at < batch.num_rows:
             done = total[at - 1] if at else 0

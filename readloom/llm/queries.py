@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_model, quality_rules, sharding, token_counts, token_files, url_filter
+from . import decontaminate, near_dup, packing, quality_model, quality_rules, sharding, token_counts, token_files, url_filter
 from ._common import table, work_dir
 from .encoders import vocabulary
 
@@ -34,6 +34,10 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op8_line_first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -49,7 +53,7 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_token_files, op3_url_filter, op5_best_two_fit, op6_two_pass_shuffle,
+        op1_token_counts, op2_token_files, op3_url_filter, op5_best_two_fit, op6_two_pass_shuffle, op7_forest_join,
         op8_line_first_rules, op9_benchmark_windows, op10_pairwise_quality,
     )
 }
