@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dup, packing, quality_model, quality_rules, sharding, token_counts, token_files, url_filter
+from . import decontaminate, near_dup, packing, quality_model, quality_rules, sharding, substring_dedup, token_counts, token_files, url_filter
 from ._common import table, work_dir
 from .encoders import vocabulary
 
@@ -25,6 +25,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, url_filter.RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048, with_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -53,7 +57,7 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_token_files, op3_url_filter, op5_best_two_fit, op6_two_pass_shuffle, op7_forest_join,
+        op1_token_counts, op2_token_files, op3_url_filter, op4_compact_windows, op5_best_two_fit, op6_two_pass_shuffle, op7_forest_join,
         op8_line_first_rules, op9_benchmark_windows, op10_pairwise_quality,
     )
 }
