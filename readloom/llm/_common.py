@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -50,6 +51,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pinned(c: Column) -> Column:
+    """``c``, computed where it is written: the optimizer doesn't copy it into later filters.
+
+    A filter pushed below the column would hold it once for each use, even inside lambdas.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "double": T.DoubleType()}
 
 

@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import pinned
+
 MAX_ROWS = 20_000
 MAX_PAIRS = 200_000
 CUT = 0.7
@@ -57,8 +59,9 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
         f"greatest(length(t) - 20000, 0) / 100000",
     ]
     base = docs.select(*keep, F.expr("coalesce(text, '')").alias("t"))
-    base = base.withColumn("words", F.expr(r"filter(split(t, '\\s+'), x -> x <> '')"))
-    base = base.withColumn("lines", F.expr(r"filter(split(t, '\n'), x -> x <> '')"))
+    words = pinned(F.expr(r"filter(split(t, '\\s+'), x -> x <> '')"))
+    lines = pinned(F.expr(r"filter(split(t, '\n'), x -> x <> '')"))
+    base = base.withColumns({"words": words, "lines": lines})
     return base.select(*keep, F.array(*[F.expr(p).cast("double") for p in parts]).alias("x"))
 
 

@@ -19,9 +19,11 @@ not arise; repeated rows are judged alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import pinned
+
 MAX_LOST = (1, 2)
 PHRASES = (
     "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service",
@@ -67,7 +69,7 @@ def repeat_words() -> str:
 def judge(docs: DataFrame, max_lost: tuple[int, int] = MAX_LOST) -> DataFrame:
     """(doc_id, base statistics, n_bad_lines, lost_chars, base_failed, kept, cleaned)."""
     num, den = max_lost
-    base = docs.select("doc_id", "text").withColumn("words", F.expr(_WORDS)).withColumn("lines", F.expr(_LINES))
+    base = docs.select("doc_id", "text").withColumns({"words": pinned(F.expr(_WORDS)), "lines": pinned(F.expr(_LINES))})
     has = _HAS_WORD.format("l")
     told = f"transform(lines, (l, i) -> struct(l AS l, NOT {has} AS blank, {has} AND {line_fails('l')} AS bad))"
     rows = base.select(
