@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import disposition, evaluate, intervals, kmers, overlap
+from ..operators import adapter, disposition, evaluate, intervals, kmers, overlap, seeds
 from .views import ADAPTER1, ADAPTER2, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,7 +209,12 @@ def smallrna_best_seed(reads):
 
 _KMERS = "SELECT frag_id, i, substring(tail, CAST(i AS INT), 10) AS kmer FROM (SELECT frag_id, tail, unnest(range(1, length(tail) - 8)) AS i FROM tails WHERE length(tail) >= 10)"
 _EDGES = """SELECT substring(tail, CAST(i AS INT), 10) AS src, substring(tail, CAST(i AS INT) + 1, 10) AS dst, count(*) AS cnt
-  FROM (SELECT tail, unnest(range(1, length(tail) - 9)) AS i FROM tails WHERE length(tail) > 10) GROUP BY 1, 2"""
+  FROM (SELECT tail, unnest(range(1, length(tail) - 9)) AS i FROM (SELECT substring(tail, 1, 30) AS tail FROM tails) WHERE length(tail) > 10) GROUP BY 1, 2"""
+
+
+def _graph(tails):
+    return kmers.pruned(kmers.edges(tails.select(F.substring("tail", 1, 30).alias("tail")), 10), 40)
+
 
 
 @query("tails", f"SELECT kmer, count(*) AS cnt FROM ({_KMERS}) GROUP BY kmer")
@@ -224,17 +229,17 @@ def dup_kmers(tails):
 
 @query("tails", f"SELECT * FROM ({_EDGES}) WHERE cnt >= 40")
 def edge_support_pruned(tails):
-    return kmers.pruned(kmers.edges(tails, 10), 40)
+    return _graph(tails)
 
 
 @query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 40) SELECT DISTINCT src AS kmer FROM e WHERE src NOT IN (SELECT dst FROM e)")
 def graph_sources(tails):
-    return kmers.sources(kmers.pruned(kmers.edges(tails, 10), 40))
+    return kmers.sources(_graph(tails))
 
 
 @query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 40) SELECT DISTINCT dst AS kmer FROM e WHERE dst NOT IN (SELECT src FROM e)")
 def graph_sinks(tails):
-    return kmers.sinks(kmers.pruned(kmers.edges(tails, 10), 40))
+    return kmers.sinks(_graph(tails))
 
 
 @query("tails", f"""SELECT o AS "offset", count(*) AS cnt FROM (SELECT instr(concat(repeat('C', CAST(frag_id % 4 AS INT)), tail), '{ADAPTER1[:5]}') - 1 AS o FROM tails)
@@ -368,3 +373,63 @@ def annotation_filter(queries, features):
 def multi_source_overlap(queries, features):
     both = intervals.union_databases(a=features, b=queries)
     return intervals.overlap_join(queries, both).groupBy(F.col("db_source").alias("source")).agg(F.count("*").alias("n"))
+
+# -- adapters -----------------------------------------------------------------------------------------
+
+
+@query("reads", f"""WITH h AS (SELECT read_id, i, hamming(substring(seq, i + 1, least(34, 100 - i)), substring('{ADAPTER1}', 1, least(34, 100 - i))) AS d,
+  least(34, 100 - i) AS m FROM (SELECT * FROM reads WHERE read_id % 7 <> 0 AND read_id % 11 <> 0), (SELECT CAST(unnest(range(0, 98)) AS INT) AS i)),
+c AS (SELECT read_id, i, m, (m * 2.477 - d * 2.477) / (m + 1) AS s, d FROM h WHERE d * 2.477 < 0.1 * 2.477 * m + 0.001),
+f AS (SELECT read_id, min(d) AS best FROM c WHERE m = 34 GROUP BY read_id),
+p AS (SELECT c.* FROM c LEFT JOIN f USING (read_id) WHERE m < 34 OR d = best)
+SELECT read_id, CAST(coalesce(arg_max(i, s * 1e6 + m * 1e-3 + i * 1e-6), 100) AS INT) AS pos FROM (SELECT read_id FROM reads WHERE read_id % 7 <> 0 AND read_id % 11 <> 0) r
+LEFT JOIN p USING (read_id) GROUP BY read_id""")
+def best_adapter_hamming(reads):
+    rows = reads.where("read_id % 7 <> 0 AND read_id % 11 <> 0")
+    return rows.select("read_id", adapter.adapter_pos("seq", None, [ADAPTER1], delta=0.0).alias("a")).select("read_id", "a.pos")
+
+
+@query("contigs reads", """WITH p AS (SELECT chrom, seq, CAST(unnest(range(0, 109)) AS INT) AS pos FROM contigs),
+t AS (SELECT substring(seq, pos + 1, 20) AS kmer, chrom, pos, substring(seq, pos + 1, 256) AS ahead FROM p),
+q AS (SELECT read_id, seq FROM (SELECT c.chrom, CAST(row_number() OVER (ORDER BY c.chrom) AS BIGINT) AS read_id, concat(substring(c.seq, 11, 60), substring(c.seq, 1, 30)) AS seq FROM contigs c)),
+h AS (SELECT q.read_id, q.seq, t.ahead FROM q JOIN t ON substring(q.seq, 1, 20) = t.kmer),
+m AS (SELECT read_id, seq, max((SELECT coalesce(min(i) FILTER (substring(seq, i, 1) <> substring(ahead, i, 1)) - 1, least(length(seq), length(ahead))) FROM (SELECT CAST(unnest(range(1, 91)) AS INT) AS i))) AS n FROM h GROUP BY 1, 2)
+SELECT read_id, CAST(n AS INT) AS prefix_len, substring(seq, CAST(n AS INT) + 1) AS tail FROM m""")
+def longest_prefix_tail(contigs, reads):
+    from ..sources.framing import with_ordinal
+
+    made = contigs.select("chrom", F.concat(F.substring("seq", 11, 60), F.substring("seq", 1, 30)).alias("seq"))
+    made = with_ordinal(made, "chrom", start=1).select(F.col("ordinal").alias("read_id"), "seq")
+    rows = seeds.seed_align(made, seeds.build_seed_table(contigs, 20), 20, allow_mismatch=False)
+    return rows.where("strand = '+'").select("read_id", "prefix_len", "tail")
+
+
+@query("reads", """WITH x AS (SELECT read_id, k, substring(seq, CAST((read_id * k) % 90 AS INT) + 1) AS tail, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand
+  FROM reads, (SELECT unnest(range(1, 5)) AS k)), r AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY length(tail), strand = '-', k) AS n FROM x)
+SELECT read_id, strand, length(tail) AS tail_len FROM r WHERE n = 1""")
+def min_tail_alignment(reads):
+    rows = reads.select("read_id", "seq", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k"))
+    rows = rows.select("read_id", F.expr("substring(seq, int((read_id * k) % 90) + 1)").alias("tail"), F.expr("IF(k % 2 = 0, '+', '-')").alias("strand"), F.lit(0).alias("prefix_len"), F.col("k").cast("string").alias("alt"))
+    return seeds.merged(rows).select("read_id", "strand", F.length("tail").cast("long").alias("tail_len"))
+
+
+@query("contigs reads")
+def seed_align_reads(contigs, reads):
+    """Both strands, with one mismatch passed; compared with brute force in the tests."""
+    made = reads.select("read_id", "seq")
+    return seeds.seed_align(made, seeds.build_seed_table(contigs, 18), 18)
+
+
+@query("reads")
+def adapter_trim_reads(reads):
+    """Quality-weighted search with gaps, then disposition: the trimming plan for a known adapter."""
+    found = reads.withColumn("a", adapter.adapter_pos("seq", "qual", [ADAPTER1], epsilon=0.2))
+    rows = disposition.dispose(found, F.col("a.pos"), min_len=18, end_quality=5)
+    return rows.select("read_id", "tag", "pos", F.col("a.idx").alias("idx"))
+
+
+@query("pairs")
+def pair_adapter_joint(pairs):
+    """Joint search of both mates."""
+    p = pairs.withColumn("p", adapter.pair_pos([ADAPTER1], [ADAPTER2]))
+    return p.select("pair_id", "p.pos", "p.idx1", "p.idx2")
