@@ -1,19 +1,115 @@
-"""Ordinals and record framing for line-oriented files."""
+"""Ordinals and record framing for line-oriented files.
+
+Splits of a file are read in any order, so a line's number is its place in its split plus the lines of
+the splits before it; only one count for each split is gathered. Records are framed inside the
+splits; the few lines of records that cross a split's edge are put together by a small shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
+_ID_BITS = 33
+
 
 def with_ordinal(df: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """``df`` with ``ordinal``, counted in the order of the given columns.
 
-    Rows are range partitioned; each partition is numbered on its own and then shifted by the sizes of
-    the ones before it, so no task sees all rows. Only one number for each partition is gathered.
+    Rows are range partitioned and sorted, each partition is numbered on its own, and this is written
+    once: sampled range bounds differ from run to run. Then partitions are shifted by the sizes of those
+    before them, so no task sees all rows.
     """
-    rows = df.orderBy(*order).withColumns({"part__": F.spark_partition_id(), "in__": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << _ID_BITS) - 1)
+    rows = stored(df.orderBy(*order).withColumns({"part__": F.spark_partition_id(), "in__": inside}), "ordered")
     sizes = rows.groupBy("part__").agg(F.count("*").alias("n__"))
     before = F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
     base = sizes.select("part__", F.coalesce(before, F.lit(0)).alias("base__"))
     return rows.join(F.broadcast(base), "part__").withColumn("ordinal", F.col("base__") + F.col("in__") + start).drop("part__", "in__", "base__")
+
+
+def lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
+    """(file, block, row, value): ``row`` rises inside a (file, block) but does not start at 0."""
+    reader = spark.read.option("lineSep", line_sep) if line_sep else spark.read
+    text = reader.text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+
+
+def numbered(spark: SparkSession, path, line_sep: str | None = None, skip_empty: bool = True) -> DataFrame:
+    """(file, line, value): every line with its number inside its file, from 0; empty lines are left out."""
+    rows = lines(spark, path, line_sep)
+    if skip_empty:
+        rows = rows.where(F.length(F.rtrim(F.regexp_replace("value", "\r$", ""))) > 0)
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return _counted(rows, splits.select("file", "block", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base")))
+
+
+def _counted(rows: DataFrame, base: DataFrame) -> DataFrame:
+    joined = rows.join(F.broadcast(base), ["file", "block"]).select("file", "block", "base", "value")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        for b in batches:
+            at = []
+            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if key != now:
+                    now, n = key, 0
+                at.append(key[2] + n)
+                n += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int64()), b.column(3)], ["file", "line", "value"])
+
+    return joined.mapInArrow(count, "file string, line long, value string")
+
+
+def framed(numbered_lines: DataFrame, size: int) -> DataFrame:
+    """(file, record, lines): ``size`` consecutive lines a record; a last, incomplete one stays incomplete."""
+    rows = numbered_lines.select("file", "line", "value")
+
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held: dict = {}
+
+        def close():
+            if held:
+                out.append((held["file"], held["record"], held["at"], held["lines"]))
+                held.clear()
+
+        for b in batches:
+            for file, line, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                record, at = divmod(line, size)
+                if held and (held["file"] != file or held["record"] != record or held["at"] + len(held["lines"]) != at):
+                    close()
+                if not held:
+                    held.update(file=file, record=record, at=at, lines=[])
+                held["lines"].append(value)
+                if at == size - 1:
+                    close()
+            yield _frames(out)
+            out = []
+        close()
+        yield _frames(out)
+
+    parts = rows.mapInArrow(frame, "file string, record long, at int, lines array<string>")
+    whole = parts.where(F.size("lines") == size).select("file", "record", "lines")
+    torn = parts.where(F.size("lines") < size).groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("at", "lines"))).alias("p"))
+    return whole.unionByName(torn.select("file", "record", F.flatten("p.lines").alias("lines")))
+
+
+def _frames(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["file", "record", "at", "lines"])
+
+
+def global_ordinal(records: DataFrame, count_key: str = "record") -> DataFrame:
+    """``records`` with ``ordinal`` over all files in path order; needs file and record."""
+    sizes = records.groupBy("file").agg(F.max(count_key).alias("m"))
+    before = F.sum(F.col("m") + 1).over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("file", F.coalesce(before, F.lit(0)).alias("base__"))
+    return records.join(F.broadcast(base), "file").withColumn("ordinal", F.col("base__") + F.col(count_key)).drop("base__")
