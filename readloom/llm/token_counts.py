@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import stored
 from .encoders import encoder, text_lists, version
 
 
@@ -50,5 +51,6 @@ def count_tokens(docs: DataFrame, vocabulary: str, cache: str, limit: int = 512)
     fresh = misses.dropDuplicates(["digest"]).select("digest", "text").mapInArrow(count, "digest binary, n_tokens long")
     fresh.withColumn("tokenizer", F.lit(tokenizer)).write.mode("append").partitionBy("tokenizer").parquet(cache)
     numbers = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    out = numbers.join(read_cache(spark, cache, tokenizer), "digest", "left")
+    # written first: a join straight on two shuffles is one that AQE can split at a hot digest
+    out = numbers.join(stored(read_cache(spark, cache, tokenizer), "counts"), "digest", "left")
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
