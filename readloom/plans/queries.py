@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import adapter, disposition, evaluate, intervals, kmers, overlap, seeds
+from ..operators import adapter, disposition, evaluate, intervals, kmers, overlap, profile, ranges, seeds
 from .views import ADAPTER1, ADAPTER2, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,3 +433,130 @@ def pair_adapter_joint(pairs):
     """Joint search of both mates."""
     p = pairs.withColumn("p", adapter.pair_pos([ADAPTER1], [ADAPTER2]))
     return p.select("pair_id", "p.pos", "p.idx1", "p.idx2")
+
+
+# -- profiles -------------------------------------------------------------------------------------------
+
+
+_CYCLES = "SELECT read_id, i AS cycle, ascii(substring(qual, i, 1)) - 33 AS q FROM (SELECT read_id, qual, CAST(unnest(range(1, length(qual) + 1)) AS INT) AS i FROM reads)"
+
+
+@query("reads", f"SELECT cycle, count(*) AS n, round(avg(q), 6) AS mean_q FROM ({_CYCLES}) GROUP BY cycle")
+def quality_by_cycle(reads):
+    return profile.quality_by_cycle(reads).select("cycle", "n", F.round("mean_q", 6).alias("mean_q"))
+
+
+@query("reads", f"SELECT floor(m / 0.5) * 0.5 AS bin, count(*) AS n FROM (SELECT read_id, avg(q) AS m FROM ({_CYCLES}) GROUP BY read_id) GROUP BY 1")
+def read_quality_bins(reads):
+    return profile.read_quality_bins(reads)
+
+
+_MOVES = f"SELECT cycle, prev_q, q, count(*) AS n FROM (SELECT cycle, lag(q) OVER (PARTITION BY read_id ORDER BY cycle) AS prev_q, q FROM ({_CYCLES})) WHERE prev_q IS NOT NULL GROUP BY 1, 2, 3"
+
+
+@query("reads", _MOVES)
+def quality_transitions(reads):
+    return profile.transitions(reads)
+
+
+@query("reads", f"""WITH m AS (SELECT prev_q, q, sum(n) AS n FROM ({_MOVES}) GROUP BY 1, 2)
+SELECT prev_q, CAST(sum(n) AS BIGINT) AS n, round(sum(n * q) / sum(n), 6) AS mean, min(q) AS low, max(q) AS high, arg_max(q, n * 1000 - q) AS mode FROM m GROUP BY prev_q""")
+def transition_moments(reads):
+    rows = profile.transition_moments(profile.transitions(reads))
+    return rows.select("prev_q", "n", F.round("mean", 6).alias("mean"), "low", "high", "mode")
+
+
+_CALLS = """SELECT substring(a, i, 1) AS ref, i AS cycle, substring(r1, i, 1) AS call, ascii(substring(q1, i, 1)) - 33 AS q, count(*) AS n
+  FROM (SELECT r1, q1, reverse(translate(r2, 'ACGT', 'TGCA')) AS a, CAST(unnest(range(1, 101)) AS INT) AS i FROM pairs) WHERE substring(a, i, 1) IN ('A', 'C', 'G', 'T') GROUP BY 1, 2, 3, 4"""
+
+
+def _calls(pairs):
+    return profile.base_calls(pairs.select(S.revcomp("r2").alias("ref_seq"), F.col("r1").alias("seq"), F.col("q1").alias("qual")))
+
+
+@query("pairs", _CALLS)
+def base_call_matrix(pairs):
+    return _calls(pairs)
+
+
+@query("pairs", f"SELECT q, CAST(sum(n) AS BIGINT) AS n, round(sum(n) FILTER (ref <> call) / sum(n), 6) AS mismatch_rate, round(sum(n * pow(10.0, -q / 10.0)) / sum(n), 6) AS expected_rate FROM ({_CALLS}) GROUP BY q")
+def mismatch_by_quality(pairs):
+    rows = profile.mismatch_rates(_calls(pairs), "q")
+    return rows.select("q", "n", F.round("mismatch_rate", 6).alias("mismatch_rate"), F.round("expected_rate", 6).alias("expected_rate"))
+
+
+@query("pairs", f"SELECT ref, call, round(n / sum(n) OVER (PARTITION BY ref), 6) AS rate FROM (SELECT ref, call, sum(n) AS n FROM ({_CALLS}) GROUP BY 1, 2)")
+def base_change_rates(pairs):
+    return profile.base_changes(_calls(pairs)).select("ref", "call", F.round("rate", 6).alias("rate"))
+
+
+@query("pairs", f"WITH c AS ({_CALLS}) SELECT ref, cycle, call, q, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM c UNION ALL SELECT * FROM c WHERE cycle <= 10) GROUP BY 1, 2, 3, 4")
+def merged_matrices(pairs):
+    c = _calls(pairs)
+    return profile.merge_counts(c, c.where("cycle <= 10"))
+
+
+@query("pairs", "SELECT insert_len AS size, count(*) AS n FROM pairs GROUP BY 1")
+def insert_size_hist(pairs):
+    rows = pairs.select(F.lit(3).alias("flag"), F.col("insert_len").alias("tlen"))
+    return profile.insert_sizes(rows)
+
+
+@query("pairs", "SELECT count(*) AS total, round(avg(insert_len), 6) AS mean, round(stddev_pop(insert_len), 6) AS sd FROM pairs")
+def insert_size_moments(pairs):
+    m = profile.weighted_moments(pairs.groupBy(F.col("insert_len").alias("size")).agg(F.count("*").alias("n")))
+    return m.select("total", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("pairs", "SELECT round(avg(insert_len), 6) AS mean, round(stddev_samp(insert_len), 6) AS sd FROM (SELECT insert_len FROM pairs ORDER BY pair_id LIMIT 1000)")
+def insert_distribution(pairs):
+    """The first 1,000 rows are what this report is defined on."""
+    m = profile.insert_distribution(pairs.select("pair_id", F.col("insert_len").alias("size")), 1000, "pair_id")
+    return m.select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+@query("contigs", """WITH t AS (SELECT chrom, i AS tile, substring(seq, i * 40 + 1, 40) AS s FROM (SELECT chrom, seq, CAST(unnest(range(0, 4)) AS INT) AS i FROM contigs) WHERE length(substring(seq, i * 40 + 1, 40)) > 30),
+g AS (SELECT floor(100.0 * length(regexp_replace(s, '[^GC]', '', 'g')) / length(s)) + 0.5 AS gc, CAST(tile * 3 + length(chrom) AS DOUBLE) AS d FROM t)
+SELECT CAST(gc AS DOUBLE) AS gc, count(*) AS n, round(avg(d), 6) AS mean, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.5) AS q2, quantile_cont(d, 0.75) AS q3,
+  greatest(min(d), quantile_cont(d, 0.25) - 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25))) AS whisker_low,
+  least(max(d), quantile_cont(d, 0.75) + 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25))) AS whisker_high, min(d) AS low, max(d) AS high FROM g GROUP BY gc""")
+def gc_depth(contigs):
+    w = profile.tiles(contigs, 40).withColumn("depth", F.col("tile") * 3 + F.length("chrom"))
+    return profile.gc_depth(w).withColumn("mean", F.round("mean", 6)).withColumn("gc", F.col("gc").cast("double"))
+
+
+@query("reads", """SELECT tile, prefix, round(sum(s) / sum(n), 6) AS mean_q FROM (SELECT CAST(read_id % 4 AS STRING) AS tile, p AS prefix, length(h) AS n,
+  list_sum(list_transform(string_split(h, ''), lambda c: ascii(c) - 33)) AS s
+  FROM (SELECT read_id, p, CASE WHEN p = 0 THEN qual ELSE substring(qual, 1, p) END AS h FROM reads, (SELECT unnest([0, 1, 5, 10, 15, 30, 50]) AS p))) GROUP BY 1, 2""")
+def tile_quality(reads):
+    named = reads.withColumn("name", F.format_string("m:1:%d:5", F.col("read_id") % 4))
+    return profile.tile_quality(named).withColumn("mean_q", F.round("mean_q", 6))
+
+
+@query("pairs", "SELECT pair_id FROM pairs WHERE length(substring(r1, 1, insert_len)) >= 60 AND length(r2) >= 60")
+def cut_length_pairs(pairs):
+    return profile.drop_short(pairs.withColumn("s1", F.expr("substring(r1, 1, insert_len)")), 60, "s1", "r2").select("pair_id")
+
+
+@query("tails", f"SELECT kmer, count(*) AS cnt FROM ({_KMERS}) GROUP BY kmer ORDER BY cnt DESC, kmer LIMIT 1")
+def top_kmer(tails):
+    return profile.best_kmer(kmers.kmer_counts(tails, 10))
+
+
+# -- record ranges -----------------------------------------------------------------------------------------
+
+
+@query("reads", """WITH o AS (SELECT read_id, row_number() OVER (ORDER BY read_id) - 1 AS k, count(*) OVER () AS n FROM reads)
+SELECT segment, count(*) AS n, min(read_id) AS first FROM (SELECT read_id, CAST(CASE WHEN k < (n % 7) * (n // 7 + 1) THEN k // (n // 7 + 1) ELSE n % 7 + (k - (n % 7) * (n // 7 + 1)) // (n // 7) END AS INT) AS segment FROM o) GROUP BY segment""")
+def segments(reads):
+    return ranges.segment(reads.select("read_id"), 7, "read_id").groupBy("segment").agg(F.count("*").alias("n"), F.min("read_id").alias("first"))
+
+
+@query("reads", "SELECT substring(seq, 1, 3) AS k, arg_min(name, read_id) AS name FROM reads GROUP BY 1")
+def first_value_map(reads):
+    return ranges.to_map(reads.withColumn("k", F.substring("seq", 1, 3)), "k", "name", "read_id")
+
+
+@query("reads", "SELECT read_id, CAST(p AS INT) - 1 AS part_no, string_split(name, '_')[p] AS part FROM (SELECT read_id, name, unnest(range(1, 3)) AS p FROM reads)")
+def split_names(reads):
+    return ranges.split(reads, "name", "_").select("read_id", "part_no", "part")
