@@ -29,6 +29,7 @@ from ._common import pinned
 MAX_ROWS = 20_000
 MAX_PAIRS = 200_000
 CUT = 0.7
+N_FEATURES = 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _DIGIT = "0123456789"
@@ -119,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
     rows = features(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"), ["doc_id", "quality"])
     # a doc_id that many rows share would make the sample unbounded: at most max_rows rows come back
     got = rows.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "quality", "x").limit(max_rows).toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), N_FEATURES)
     return learn(x, got["quality"].to_numpy(int), seed)
 
 
