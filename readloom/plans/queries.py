@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import adapter, disposition, evaluate, intervals, kmers, overlap, profile, ranges, seeds
+from ..operators import adapter, disposition, evaluate, intervals, kmers, overlap, profile, ranges, seeds, simulate
+from ..sources import alignments
+from ..sources import reads as io
+from . import modes
 from .views import ADAPTER1, ADAPTER2, oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +563,74 @@ def first_value_map(reads):
 @query("reads", "SELECT read_id, CAST(p AS INT) - 1 AS part_no, string_split(name, '_')[p] AS part FROM (SELECT read_id, name, unnest(range(1, 3)) AS p FROM reads)")
 def split_names(reads):
     return ranges.split(reads, "name", "_").select("read_id", "part_no", "part")
+
+
+# -- alignments as text --------------------------------------------------------------------------------------
+
+
+def _aligned(reads):
+    loci = F.transform(F.sequence(F.lit(1), F.col("read_id") % 3 + 1), lambda i: F.struct(F.concat(F.lit("c"), i.cast("string")).alias("chrom"), (F.col("read_id") % 1000 * i).alias("pos")))
+    strand = F.when(F.col("read_id") % 2 == 1, "-").otherwise("+")
+    size = F.least("insert_len", F.lit(100))
+    return reads.select("read_id", "name", "seq", "qual", strand.alias("strand"), size.alias("prefix_len"), F.expr("substring(seq, insert_len + 1)").alias("tail"), loci.alias("loci"), F.lit(6).alias("n"))
+
+
+_LOCI = """SELECT *, CAST(unnest(range(1, read_id % 3 + 2)) AS BIGINT) AS i, substring(seq, insert_len + 1) AS tail, least(insert_len, 100) AS p FROM reads"""
+
+
+@query("reads", f"""SELECT array_to_string([name, CASE WHEN read_id % 2 = 1 THEN '16' ELSE '0' END, concat('c', CAST(i AS STRING)), CAST(read_id % 1000 * i + 1 AS STRING), CAST(255 - length(tail) AS STRING),
+  CASE WHEN tail = '' THEN concat(CAST(p AS STRING), 'M') WHEN read_id % 2 = 1 THEN concat(CAST(length(tail) AS STRING), 'S', CAST(p AS STRING), 'M') ELSE concat(CAST(p AS STRING), 'M', CAST(length(tail) AS STRING), 'S') END,
+  '*', '0', '0', CASE WHEN read_id % 2 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END, CASE WHEN read_id % 2 = 1 THEN reverse(qual) ELSE qual END,
+  concat('NH:i:', CAST(read_id % 3 + 1 AS STRING), CASE WHEN tail <> '' THEN concat(chr(9), 'TL:Z:', tail) ELSE '' END)], chr(9)) AS line FROM ({_LOCI})""")
+def sam_lines(reads):
+    return alignments.aligned_sam(_aligned(reads)).select(alignments.sam_text().alias("line"))
+
+
+@query("reads", f"""SELECT concat('c', CAST(i AS STRING)) AS chrom, CAST(read_id % 1000 * i AS BIGINT) AS begin, CAST(read_id % 1000 * i + p AS BIGINT) AS stop,
+  CASE WHEN read_id % 2 = 1 THEN '-' ELSE '+' END AS strand, name, round(6.0 / (read_id % 3 + 1), 6) AS reads FROM ({_LOCI})""")
+def bed_rows(reads):
+    return alignments.to_bed(_aligned(reads)).select("chrom", "begin", "stop", "strand", "name", F.round("reads", 6).alias("reads"))
+
+
+@query("reads", f"SELECT read_id, concat('c', CAST(i AS STRING)) AS chrom, CAST(read_id % 1000 * i AS BIGINT) AS begin, CAST(read_id % 1000 * i + p - 1 AS BIGINT) AS stop FROM ({_LOCI})")
+def alignment_locations(reads):
+    return intervals.to_locations(_aligned(reads)).select("read_id", "chrom", "begin", "stop")
+
+
+@query("reads", f"""SELECT read_id, array_to_string(['@' || name, seq, '+', qual], chr(10)) AS fastq, concat('>', name, chr(10), seq) AS fasta FROM reads""")
+def read_text(reads):
+    return reads.select("read_id", io.fastq_text().alias("fastq"), io.fasta_text().alias("fasta"))
+
+
+@query("pairs")
+def assembled_adapters(pairs):
+    """Adapters of both mates found from mate overlap: the detection plan, one row."""
+    a, b = modes.detect_paired(pairs)
+    return pairs.sparkSession.createDataFrame([(a, b)], "adapter1 string, adapter2 string")
+
+
+@query("contigs")
+def simulated_pairs(contigs):
+    """1,000 pairs drawn from the contigs, with the truth; errors are drawn by seeded generators."""
+    frags = simulate.fetch(simulate.draw_fragments(contigs.sparkSession, contigs, 1000, 60, 20), contigs)
+    made = simulate.read_pairs(frags, 100, (ADAPTER1, ADAPTER2))
+    return simulate.with_errors(made, "r1", "q1").select("read_id", "chrom", "pos", "strand", "insert_len", "r1", "q1", "truth_len", "r1_subs")
+
+
+@query("contigs")
+def second_haplotype(contigs):
+    """SNPs, indels and inversions put into every contig."""
+    return simulate.diploid(contigs, 0.02, 0.01, 0.001, 20).select("chrom", "seq", F.size("variants").alias("n_variants"))
+
+
+@query("reads")
+def quality_masking(reads):
+    """Where the low-quality suffix of each read begins."""
+    return reads.select("read_id", simulate.masked_from().alias("masked_from"))
+
+
+@query("reads contigs")
+def small_rna_trim(reads, contigs):
+    """Seed lengths tried against the contigs, the best one's trimming."""
+    done, _ = modes.small_rna(reads.select("read_id", "name", "seq", "qual"), contigs, (18, 20), min_len=18)
+    return done.reads.select("read_id", "tag", "pos")
