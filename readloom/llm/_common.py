@@ -34,9 +34,21 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.option("compression", compression).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished jobs
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key list that is broadcast: 1,000,000 longs are about 30 MB in a hash relation.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, label: str, rows: int = MAX_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` written, and marked for broadcast if it has at most ``rows`` rows (then true)."""
+    df = stored(df, label)
+    small = df.count() <= rows
+    return (F.broadcast(df) if small else df), small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

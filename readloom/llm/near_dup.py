@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ratio, shuffle_parts, stored
+from ._common import MAX_BROADCAST_ROWS, ratio, shuffle_parts, sized, stored
 from ._graph import components
 from ._words import Words, chunks, mix, words_of
 from .sharding import _whole_groups
@@ -198,7 +198,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     grouped = components(edges, "candidates")
     sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
     wanted = grouped.join(sizes, "component").join(members.select("set_id", "weight", "text_id"), F.col("node") == F.col("set_id"))
-    wanted = wanted.select("text_id", "set_id", "weight", "component", F.ceil(F.col("n") / block).alias("blocks"))
+    wanted, small = sized(wanted.select("text_id", "set_id", "weight", "component", F.ceil(F.col("n") / block).alias("blocks")), "wanted", MAX_BROADCAST_ROWS // 4)
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
@@ -207,8 +207,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
             data = [grams[x:y].tobytes() for x, y in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(data, pa.binary())], ["set_id", "weight", "component", "blocks", "grams"])
 
-    texts = docs.select(F.xxhash64("text").alias("text_id"), "text").dropDuplicates(["text_id"])
-    filled = texts.join(wanted, "text_id").select("set_id", "weight", "component", "blocks", "text")
+    # only texts of candidates are shuffled while their list is small enough to be broadcast
+    texts = docs.select(F.xxhash64("text").alias("text_id"), "text")
+    texts = texts.join(F.broadcast(wanted.select("text_id")), "text_id", "left_semi") if small else texts
+    filled = texts.dropDuplicates(["text_id"]).join(wanted, "text_id").select("set_id", "weight", "component", "blocks", "text")
     filled = filled.mapInArrow(shingles, "set_id long, weight long, component long, blocks long, grams binary")
     own = F.expr("pmod(xxhash64(set_id, 11), blocks)")
     cells = filled.withColumn("own", own).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -240,9 +242,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     classed = stored(found.select("doc_id", "text_id", "class_key"), "classed")
     best = classed.groupBy("class_key").agg(first.alias("f"))
     stay = best.select(F.xxhash64("f.doc_id", "f.text_id").alias("row__"), F.lit(True).alias("stay__"))
-    rows = classed.select(key.alias("row__")).distinct().join(stay, "row__", "left").select("row__", F.coalesce("stay__", F.lit(False)).alias("stay__"))
+    rows = classed.groupBy(key.alias("row__")).agg(F.count("*").alias("same__")).join(stay, "row__", "left")
+    rows, _ = sized(rows.select("row__", (F.col("same__") > 1).alias("same__"), F.coalesce("stay__", F.lit(False)).alias("stay__")), "rows")
     names = docs.columns
     joined = docs.withColumn("row__", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(rows, "row__", "left")
-    alone = joined.where("stay__ IS NULL").select(*[F.col(f"`{c}`") for c in names])
-    kept = joined.where("stay__").dropDuplicates(["row__"]).select(*[F.col(f"`{c}`") for c in names])
-    return alone.unionByName(kept)
+    alone = joined.where("stay__ IS NULL OR (stay__ AND NOT same__)").select(*[F.col(f"`{c}`") for c in names])
+    repeated = rows.where("same__ AND stay__").limit(1).count()
+    if not repeated:
+        return alone
+    return alone.unionByName(joined.where("stay__ AND same__").dropDuplicates(["row__"]).select(*[F.col(f"`{c}`") for c in names]))
