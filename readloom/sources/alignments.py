@@ -223,3 +223,22 @@ def to_bed(rows: DataFrame, count: str = "n") -> DataFrame:
     """(chrom, begin, stop, strand, name, tail, reads) a locus; reads are shared equally among loci."""
     each = rows.withColumn("l", F.explode("loci"))
     return each.select(F.col("l.chrom").alias("chrom"), F.col("l.pos").alias("begin"), (F.col("l.pos") + F.col("prefix_len")).alias("stop"), "strand", "name", "tail", (F.col(count) / F.size("loci")).alias("reads"))
+
+
+# -- region index: bins as partition folders -----------------------------------------------------------------
+
+
+def write_binned(bam: DataFrame, path: str) -> None:
+    """Alignments in folders by reference and bin, so that region reads open only bins that can overlap."""
+    end = F.col("pos") + F.greatest(S.reference_length(S.cigar_ops("cigar")), F.lit(1))
+    rows = bam.withColumn("bin", F.when(F.col("pos") >= 0, S.reg2bin("pos", end)).otherwise(4680)).withColumn("end_pos", end)
+    rows.repartition("rname", "bin").sortWithinPartitions("pos").write.partitionBy("rname", "bin").parquet(path)
+
+
+def read_binned(spark: SparkSession, path: str, chrom: str, begin: int, end: int) -> DataFrame:
+    """Alignments that overlap [begin, end), 0-based; other folders are pruned."""
+    bins = [0]
+    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
+        bins += range(first + (begin >> shift), first + ((end - 1) >> shift) + 1)
+    rows = spark.read.parquet(path).where((F.col("rname") == chrom) & F.col("bin").isin(bins))
+    return rows.where((F.col("pos") < end) & (F.col("end_pos") > begin)).drop("end_pos")

@@ -177,3 +177,16 @@ def test_gff_bed_bedgraph_wig(spark, write):
     assert annotations.wig_intervals(wig).where("begin = 15").first()["stop"] == 16
     with pytest.raises(ValueError):
         annotations.read_wig(spark, write("b.wig", "fixedStep chrom=c1 start=1\n1\n"))
+
+
+def test_binned_regions(spark, tmp_path):
+    r = random.Random(4)
+    rows = [("c%d" % r.randint(1, 2), r.randint(0, 300_000), f"{r.randint(20, 60)}M", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "rname string, pos int, cigar string, ordinal long")
+    path = str(tmp_path / "binned")
+    alignments.write_binned(df, path)
+    for begin, end in ((0, 10), (16_380, 16_390), (100_000, 180_000)):
+        want = sorted(i for c, p, g, i in rows if c == "c1" and p < end and p + int(g[:-1]) > begin)
+        got = alignments.read_binned(spark, path, "c1", begin, end)
+        assert sorted(x["ordinal"] for x in got.collect()) == want
+        assert "PartitionFilters: [isnotnull(rname" in got._jdf.queryExecution().executedPlan().toString()
