@@ -25,7 +25,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     before = _sum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima are written first: a join straight on two shuffles is one that AQE can split at a hub
+        low = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), label)
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
