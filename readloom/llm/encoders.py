@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ GROUP_CHARS = 1 << 20
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 # For the space-prefixing kind: anything but single spaces and line feeds between other characters.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile("\\s\\s|[^\\S \\n]|[\u180e\u200b\ufeff]|\\A\\s|\\s\\Z")
 
 
@@ -96,7 +98,20 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
 
     def _learn(self, pieces: list[str]) -> None:
-        """Put distinct pieces into the cache, many in one library call.
+        """Put distinct pieces into the cache; both tokenizers end a token where punctuation follows a letter."""
+        bases = list(map(str.rstrip, pieces, repeat(_PUNCTUATION)))
+        ends = [(p, b, p[len(b) :]) for p, b in zip(pieces, bases) if len(b) < len(p) and b[-1:].isalpha()]
+        text = "\n".join(pieces)
+        if any(s in text for s in self.specials):
+            ends = [e for e in ends if not any(s in e[0] for s in self.specials)]
+        whole = set(pieces).difference(e[0] for e in ends)
+        whole.update((e[1] for e in ends), (e[2] for e in ends))
+        self._learn_whole(list(whole.difference(self.known)))
+        get = self.known.__getitem__
+        self.known.update([(p, get(a) + get(b)) for p, a, b in ends])
+
+    def _learn_whole(self, pieces: list[str]) -> None:
+        """Encode distinct pieces, many in one library call.
 
         Pieces that white space keeps apart are joined and their ids are told apart by the bytes that
         each token stands for; if these don't add up, or a piece isn't ASCII where the tokenizer

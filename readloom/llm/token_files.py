@@ -1,6 +1,6 @@
 """Token-id files: one concatenated id array with Elias-Fano encoded document boundaries.
 
-Documents are put in ascending id order (nulls first, equal ids by text digest), encoded, and
+Documents are put in ascending id order (nulls first, equal ids by a digest, then text), encoded, and
 written as segments of about ``SEGMENT_IDS`` ids. A segment is one binary value:
 
     magic "RLT1", width of an id, documents, ids, ids before it in its partition, null ids, lowest id,
@@ -152,8 +152,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(encode, "part int, number int, n_ids long, data binary").write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(order[0], "text")
+    rows.mapInArrow(encode, "part int, number int, n_ids long, data binary").write.option("compression", "snappy").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
