@@ -2,40 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import storage
+from ..storage import work_dir  # noqa: F401 (for the operators)
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder path under the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests on one
-    machine) a temporary folder is made and set as checkpoint folder; it goes at exit.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="readloom-")
-        atexit.register(shutil.rmtree, base, True)
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, label)
-    df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished jobs
-    return spark.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; shuffle files of finished jobs may go."""
+    out = storage.stored(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop them
+    return out
 
 
 #: Rows of a key list that is broadcast: 1,000,000 longs are about 30 MB in a hash relation.
