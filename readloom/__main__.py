@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import disposition, seeds
+from .operators import disposition, kmers, overlap, seeds
 from .plans import modes
 from .session import ship
 from .sources import reads as io
@@ -17,60 +17,76 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="readloom")
     sub = p.add_subparsers(dest="mode", required=True)
 
-    def add(name: str, *, ref=False, index=False, mates=False, known=False):
+    def mode(name: str, output: str | None = None) -> argparse.ArgumentParser:
         s = sub.add_parser(name)
-        if ref:
-            s.add_argument("-r", "--ref_path", required=True)
-        if index:
-            s.add_argument("-p", "--index_prefix", required=name != "smallrna")
-        if name != "build":
+        if output:
             s.add_argument("-1", "--input1", required=True)
-            s.add_argument("-o", "--output", required=True)
+            s.add_argument("-o", "--output", default=output)
             s.add_argument("-m", "--min_length", type=int, default=0)
-            s.add_argument("--gzip", action="store_true")
-        if mates:
-            s.add_argument("-2", "--input2", required=True)
-            s.add_argument("-M", "--match_rate", type=float, default=0.7)
-            s.add_argument("-s", "--seq_cmp_rate", type=float, default=0.9)
-            s.add_argument("--adapter1", default=modes.ADAPTER1)
-            s.add_argument("--adapter2", default=modes.ADAPTER2)
-        if name in ("build", "single"):
-            s.add_argument("-e", "--seed_length", type=int, default=50 if name == "single" else 18)
-        if name in ("single", "smallrna"):
-            s.add_argument("-a", "--max_align", type=int, default=0)
-            s.add_argument("--no_mismatch", action="store_true")
-        if name == "smallrna":
-            s.add_argument("--min_seed", type=int, default=18)
-            s.add_argument("--max_seed", type=int, default=20)
-        if name in ("single", "paired", "smallrna"):
-            s.add_argument("-f", "--prune_factor", type=float, default=0.1 if name == "smallrna" else 0.03)
-            s.add_argument("--sensitive", action="store_true")
-        if known or name in ("single", "smallrna"):
-            s.add_argument("-x", "--adapter", default=modes.ADAPTER1, required=known)
-            s.add_argument("--max_length", type=int)
-            s.add_argument("-q", "--end_quality", type=int, default=0)
-            s.add_argument("-Q", "--mean_quality", type=int, default=0)
+            s.add_argument("--gzip", action="store_true", help="compress the output")
         return s
 
-    add("build", ref=True, index=True)
-    add("single", index=True)
-    add("paired", mates=True)
-    add("smallrna", ref=True)
-    add("known", known=True)
+    def detection(s, prune: float) -> None:
+        s.add_argument("-f", "--prune_factor", type=float, default=prune)
+        s.add_argument("--sensitive", action="store_true")
+
+    def seeds_of(s) -> None:
+        s.add_argument("-M", "--max_align", type=int, default=0, help="0: no limit")
+        s.add_argument("-e", "--no_mismatch", action="store_true")
+        s.add_argument("-a", "--adapter", default=modes.ADAPTER1, help="used if none is found")
+        s.add_argument("-u", "--UMI", action="store_true", help="print the estimated UMI size")
+
+    def quality(s) -> None:
+        s.add_argument("--max_length", type=int)
+        s.add_argument("-q", "--end_quality", type=int, default=0)
+        s.add_argument("-Q", "--mean_quality", type=int, default=0)
+
+    s = mode("build")
+    s.add_argument("-r", "--ref_path", required=True)
+    s.add_argument("-p", "--index_prefix", required=True)
+    s.add_argument("-d", "--seed_len", type=int, default=50, help="k of the seed table")
+    s = mode("single", "trimmed_se")
+    s.add_argument("-p", "--index_prefix", required=True)
+    s.add_argument("-d", "--seed_len", type=int, default=50)
+    for add in (seeds_of, quality):
+        add(s)
+    detection(s, 0.03)
+    s = mode("paired", "trimmed_pe")
+    s.add_argument("-2", "--input2", required=True)
+    s.add_argument("-a", "--adapter1", default=modes.ADAPTER1)
+    s.add_argument("-A", "--adapter2", default=modes.ADAPTER2)
+    for letter, name, rate in (("-M", "--rc_thres", 0.7), ("-s", "--ss_thres", 0.9), ("-S", "--as_thres", 0.8)):
+        s.add_argument(letter, name, type=float, default=rate)
+    detection(s, 0.03)
+    s = mode("smallrna", "trimmed_sr")
+    s.add_argument("-r", "--ref_path", required=True, help="seed tables are made from it for each length")
+    s.add_argument("-s", "--min_seed_len", type=int, default=18)
+    s.add_argument("-d", "--max_seed_len", type=int, default=20)
+    for add in (seeds_of, quality):
+        add(s)
+    detection(s, 0.1)
+    s = mode("known", "trimmed")
+    s.add_argument("-a", "--adapter", default=modes.ADAPTER1)
+    quality(s)
     return p
 
 
+def _rate(value: float, default: int) -> int:
+    """A rate as percent; outside (0, 1) the default."""
+    return round(100 * value) if 0 < value < 1 else default
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = ship(spark or SparkSession.builder.appName("readloom").getOrCreate())
     if a.mode == "build":
-        modes.build(io.read_contigs(spark, a.ref_path), a.seed_length, a.index_prefix)
+        modes.build(io.read_contigs(spark, a.ref_path), a.seed_len, a.index_prefix)
         return
     if a.mode == "paired":
         pairs = io.pair_up(modes.load(spark, a.input1), modes.load(spark, a.input2)).withColumn("pair_id", F.col("ordinal"))
-        rates = {"match": round(100 * a.match_rate), "seq": round(100 * a.seq_cmp_rate)}
+        rates = {"match": _rate(a.rc_thres, 70), "seq": _rate(a.ss_thres, 90)}
         adapters = modes.detect_paired(pairs, a.prune_factor, a.sensitive, "pair_id", (a.adapter1, a.adapter2), **rates)
-        out, adapters = modes.paired(pairs, a.min_length, adapters)
+        out = overlap.trim_pairs(pairs, adapters, a.min_length, adapter=_rate(a.as_thres, 80), **rates)
         print("adapters:", *adapters)
         for i in (1, 2):
             mate = out.select("ordinal", F.col(f"n{i}").alias("name"), F.col(f"r{i}").alias("seq"), F.col(f"q{i}").alias("qual"))
@@ -81,11 +97,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.mode == "known":
         done = modes.trim_known(reads, a.adapter, **options)
     elif a.mode == "single":
-        table = seeds.load_index(spark, a.index_prefix, a.seed_length)
-        done = modes.single(reads, table, a.seed_length, a.adapter, a.prune_factor, a.sensitive, a.max_align, not a.no_mismatch, **options)
+        index = seeds.load_index(spark, a.index_prefix, a.seed_len)
+        done = modes.single(reads, index, a.adapter, a.prune_factor, a.sensitive, a.max_align, not a.no_mismatch, **options)
     else:
-        done, _ = modes.small_rna(reads, io.read_contigs(spark, a.ref_path), range(a.min_seed, a.max_seed + 1), a.adapter, a.prune_factor, **options)
+        done, _ = modes.small_rna(reads, io.read_contigs(spark, a.ref_path), range(a.min_seed_len, a.max_seed_len + 1), a.adapter, a.prune_factor, sensitive=a.sensitive, max_align=a.max_align, allow_mismatch=not a.no_mismatch, **options)
     print("adapter:", done.adapter)
+    if getattr(a, "UMI", False):
+        cut = done.reads.where(F.col("pos") < F.length("seq")).select(F.expr("substring(seq, pos + 1)").alias("tail"))
+        print("UMI size:", kmers.umi_size(cut, done.adapter))
     disposition.summary(done.reads).show()
     io.write_reads(disposition.trimmed(done.reads), a.output, gzip=a.gzip)
 

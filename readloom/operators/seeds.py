@@ -1,13 +1,14 @@
 """Seed-and-tail alignment against a k-mer table instead of a suffix index.
 
 The table holds the forward k-mers of the reference with their places; reads probe it with their first
-k bases and with the reverse complement, so one strand is enough. Places are extended against reference
-windows that lie beside the k-mer, in an Arrow pass. Everything else is equi-joins and aggregations.
+k bases and with the reverse complement, so one strand is enough. Places are extended in an Arrow pass
+against short overlapping chunks of the reference, found by an equi-join. No task holds a genome.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,32 +20,42 @@ from ..functions import sequence as S
 MAX_READ = 256
 
 
-def build_seed_table(contigs: DataFrame, k: int, flank: int = MAX_READ) -> DataFrame:
-    """(kmer, chrom, pos, ahead, behind): each k-mer without N, with the bases from and up to it.
+CHUNK = 1024
 
-    ``ahead`` starts at ``pos``; ``behind`` ends with the k-mer. Lower-case bases count as upper case.
-    """
+
+@dataclass
+class SeedIndex:
+    """``kmers`` (kmer, chrom, pos) and ``chunks`` (chrom, chunk, first, text), the reference in overlapping parts."""
+
+    k: int
+    kmers: DataFrame
+    chunks: DataFrame
+
+
+def build_index(contigs: DataFrame, k: int) -> SeedIndex:
+    """Every forward k-mer without N, with its place. Lower-case bases count as upper case."""
     up = contigs.select("chrom", F.upper("seq").alias("seq")).where(F.length("seq") >= k)
     rows = up.select("chrom", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    rows = rows.select(
-        F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"), "chrom", "pos",
-        F.substring("seq", F.col("pos") + 1, F.lit(flank)).alias("ahead"),
-        F.expr(f"substring(seq, greatest(pos + {k} - {flank}, 0) + 1, least({flank}, pos + {k}))").alias("behind"),
-    )
-    return rows.where(~F.col("kmer").rlike("[^ACGT]"))
+    rows = rows.select(F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"), "chrom", F.col("pos").cast("long").alias("pos"))
+    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / CHUNK).cast("int"))
+    parts = up.select("chrom", "seq", F.explode(at).alias("chunk")).withColumn("first", F.greatest(F.col("chunk") * CHUNK - MAX_READ, F.lit(0)))
+    parts = parts.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.col("first").cast("long").alias("first"), F.substring("seq", F.col("first") + 1, F.lit(CHUNK + 2 * MAX_READ)).alias("text"))
+    return SeedIndex(k, rows.where(~F.col("kmer").rlike("[^ACGT]")), parts)
 
 
-def save_index(table: DataFrame, path: str, k: int) -> None:
-    table.repartition("kmer").sortWithinPartitions("kmer").write.mode("overwrite").option("readloom.k", str(k)).parquet(path)
-    table.sparkSession.createDataFrame([(k, 1)], "k int, version int").coalesce(1).write.mode("overwrite").json(f"{path}_meta")
+def save_index(index: SeedIndex, path: str) -> None:
+    """k-mers in order of their hash partition, chunks, and what they were made for."""
+    index.kmers.repartition("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/kmers")
+    index.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    index.kmers.sparkSession.createDataFrame([(index.k, 1)], "k int, version int").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
 
-def load_index(spark, path: str, k: int | None = None) -> DataFrame:
-    """The stored table; an error if it was made for another k."""
-    meta = spark.read.schema("k int, version int").json(f"{path}_meta").first()
+def load_index(spark, path: str, k: int | None = None) -> SeedIndex:
+    """The stored index; an error if it was made for another k."""
+    meta = spark.read.schema("k int, version int").json(f"{path}/meta").first()
     if meta is None or (k is not None and meta["k"] != k):
         raise ValueError(f"index at {path} is missing or was not built for k = {k}")
-    return spark.read.parquet(path)
+    return SeedIndex(meta["k"], spark.read.parquet(f"{path}/kmers"), spark.read.parquet(f"{path}/chunks"))
 
 
 def _prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -74,25 +85,28 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HIT = "read_id long, strand string, chrom string, pos long, mm int, m int, alt string, m2 int"
 
 
-def hits(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
+def hits(reads: DataFrame, index: SeedIndex) -> DataFrame:
     """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``."""
+    k = index.k
     usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
     forward = usable.select("read_id", "seq", F.lit("+").alias("strand"), F.substring("seq", 1, k).alias("kmer"))
     reverse = forward.select("read_id", "seq", F.lit("-").alias("strand"), S.revcomp("kmer").alias("kmer"))
-    found = forward.unionByName(reverse).join(table, "kmer")
-    window = F.when(F.col("strand") == "+", F.col("ahead")).otherwise(S.revcomp("behind"))
-    rows = found.select("read_id", "strand", "chrom", F.col("pos").cast("long").alias("pos"), "seq", window.alias("window"))
+    found = forward.unionByName(reverse).join(index.kmers, "kmer").withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    ahead = F.expr(f"substring(text, int(pos - first) + 1, {MAX_READ})")
+    behind = F.expr(f"substring(text, int(greatest(pos + {k} - {MAX_READ}, first) - first) + 1, int(pos + {k} - greatest(pos + {k} - {MAX_READ}, first)))")
+    window = F.when(F.col("strand") == "+", ahead).otherwise(S.revcomp(behind))
+    rows = found.join(index.chunks, ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
     return rows.mapInArrow(_extend, _HIT)
 
 
-def seed_align(reads: DataFrame, table: DataFrame, k: int, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
+def seed_align(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
     """(read_id, strand, prefix_len, mismatch_at, tail, n_loci): the longest prefix on each strand.
 
     The prefix is exact; with ``allow_mismatch`` one mismatch after it is passed if a base behind it
     matches again, each other base giving a record of its own. Fully matching reads have an empty tail.
     ``max_align`` > 0 drops reads with more places than that.
     """
-    found = hits(reads, table, k)
+    found = hits(reads, index)
     longest = found.groupBy("read_id", "strand").agg(F.max("m").alias("top"))
     at = found.join(longest, ["read_id", "strand"]).where("m = top")
     exact = at.groupBy("read_id", "strand").agg(F.max("m").alias("prefix_len"), F.count("*").alias("n_loci"))
@@ -111,15 +125,16 @@ def seed_align(reads: DataFrame, table: DataFrame, k: int, max_align: int = 0, a
     return rows.select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci")
 
 
-def seed_mismatch(reads: DataFrame, table: DataFrame, k: int) -> DataFrame:
+def seed_mismatch(reads: DataFrame, index: SeedIndex) -> DataFrame:
     """(read_id, chrom, pos): forward places whose first k bases differ in exactly one, by halves.
 
     One of both halves is exact (pigeonhole), so each half is an equi-join; the rest is verified.
     """
+    k = index.k
     half = k // 2
     usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
     q = usable.select("read_id", F.substring("seq", 1, k).alias("q"))
-    t = table.select("kmer", "chrom", "pos")
+    t = index.kmers
     out = None
     for begin, size in ((1, half), (half + 1, k - half)):
         key = lambda c: F.substring(c, begin, size)  # noqa: E731, B023

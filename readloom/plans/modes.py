@@ -22,20 +22,20 @@ class Trimmed:
     low_complexity: bool = False
 
 
-def build(contigs: DataFrame, k: int, path: str | None = None) -> DataFrame:
-    table = seeds.build_seed_table(contigs, k)
+def build(contigs: DataFrame, k: int, path: str | None = None) -> seeds.SeedIndex:
+    index = seeds.build_index(contigs, k)
     if path is None:
-        return table
-    seeds.save_index(table, path, k)
-    return seeds.load_index(table.sparkSession, path, k)
+        return index
+    seeds.save_index(index, path)
+    return seeds.load_index(contigs.sparkSession, path, k)
 
 
-def detect_single(reads: DataFrame, table: DataFrame, k: int, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, least_tails: int = 3000, batches: int = 3) -> tuple[str, bool]:
+def detect_single(reads: DataFrame, index: seeds.SeedIndex, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, least_tails: int = 3000, batches: int = 3) -> tuple[str, bool]:
     """Adapter of single reads from the tails that do not align: up to three samples until 3,000 tails."""
     n, found = SAMPLE, None
     for i in range(batches):
         part = seeds.sample(reads, n * (i + 1))
-        rows = seeds.seed_align(part, table, k, max_align, allow_mismatch).where(F.length("tail") > 0)
+        rows = seeds.seed_align(part, index, max_align, allow_mismatch).where(F.length("tail") > 0)
         found = seeds.merged(rows).select("tail")
         if i == batches - 1 or found.count() >= least_tails:
             break
@@ -51,9 +51,9 @@ def trim_known(reads: DataFrame, text: str, epsilon: float = 0.2, low_complexity
     return Trimmed(disposition.dispose(found, F.col("a__.pos"), **options).drop("a__"), text, low_complexity)
 
 
-def single(reads: DataFrame, table: DataFrame, k: int, default: str = ADAPTER1, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, **options) -> Trimmed:
+def single(reads: DataFrame, index: seeds.SeedIndex, default: str = ADAPTER1, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, **options) -> Trimmed:
     """Detect the adapter of single reads, then trim; the default adapter if none is found."""
-    text, low = detect_single(reads, table, k, prune_factor, sensitive, max_align, allow_mismatch)
+    text, low = detect_single(reads, index, prune_factor, sensitive, max_align, allow_mismatch)
     return trim_known(reads, text or default, low_complexity=low, **options)
 
 
@@ -79,7 +79,7 @@ def small_rna(reads: DataFrame, contigs: DataFrame, seed_lengths=range(18, 21),
     """Try seed lengths and keep the one that trims most reads; ties go to the longest."""
     spark, runs, percents = reads.sparkSession, {}, []
     for k in seed_lengths:
-        runs[k] = single(reads, build(contigs, k), k, default, prune_factor, **options)
+        runs[k] = single(reads, build(contigs, k), default, prune_factor, **options)
         percents.append((k, disposition.trimmed_percent(runs[k].reads).first()["percent"]))
     best = disposition.best_seed(spark.createDataFrame(percents, "seed_len int, percent double"))
     return runs[best.first()["seed_len"]], best

@@ -403,7 +403,7 @@ def longest_prefix_tail(contigs, reads):
 
     made = contigs.select("chrom", F.concat(F.substring("seq", 11, 60), F.substring("seq", 1, 30)).alias("seq"))
     made = with_ordinal(made, "chrom", start=1).select(F.col("ordinal").alias("read_id"), "seq")
-    rows = seeds.seed_align(made, seeds.build_seed_table(contigs, 20), 20, allow_mismatch=False)
+    rows = seeds.seed_align(made, seeds.build_index(contigs, 20), allow_mismatch=False)
     return rows.where("strand = '+'").select("read_id", "prefix_len", "tail")
 
 
@@ -420,7 +420,7 @@ def min_tail_alignment(reads):
 def seed_align_reads(contigs, reads):
     """Both strands, with one mismatch passed; compared with brute force in the tests."""
     made = reads.select("read_id", "seq")
-    return seeds.seed_align(made, seeds.build_seed_table(contigs, 18), 18)
+    return seeds.seed_align(made, seeds.build_index(contigs, 18))
 
 
 @query("reads")
