@@ -109,7 +109,8 @@ def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: st
     for a in range(0, n, 512):
         part = slice(a, min(n, a + 512))
         m = size[part]
-        reads = _codes([x[::-1] if flip else x for x in seqs[part]], width)
+        texts = [x[::-1] if flip else x for x in seqs[part]]
+        reads = _codes(texts, width)
         if quals is None:
             cost = np.full(reads.shape, MU)
         else:
@@ -117,7 +118,13 @@ def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: st
             marks = _codes([t[: len(x)] for t, x in zip(q, seqs[part])], width)
             cost = np.where(marks > 0, _PENALTY[np.clip(marks.astype(int) - base + 33, 0, 255)], MU)
         for k, text in enumerate(adapters):
-            at, got = align(reads, cost, m, text[::-1] if flip else text, epsilon, delta, least, mode == "any")
+            word = text[::-1] if flip else text
+            # an exact whole adapter has the best score there is, so such reads need no alignment
+            at = np.array([t.rfind(word) for t in texts], np.int64) if word and not word.strip("ACGT") else np.full(len(texts), -1, np.int64)
+            got = np.full(len(texts), len(word) * MU / (len(word) + 1))
+            rest = np.flatnonzero(at < 0)
+            if len(rest):
+                at[rest], got[rest] = align(reads[rest], cost[rest], m[rest], word, epsilon, delta, least, mode == "any")
             more = got > score[part]
             pos[part] = np.where(more, np.clip(at, 0, m), pos[part])
             idx[part] = np.where(more, k, idx[part])

@@ -38,6 +38,13 @@ def test_scalar_functions(spark):
     assert [tuple(x) for x in row["runs"]] == [(4, 2)] and row["ph"] == pytest.approx(30)
 
 
+def test_quality_sums(spark):
+    r = random.Random(12)
+    texts = ["".join(chr(r.randint(33, 126)) for _ in range(r.randint(0, 30))) for _ in range(200)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "q string").repartition(3)
+    assert df.where(~S.quality_sum("q").eqNullSafe(S.quality_sum_expr("q"))).count() == 0
+
+
 def test_reg2bin(spark):
     r = random.Random(3)
     rows = [(b, b + r.randint(1, 1 << r.randint(1, 27))) for b in (r.randint(0, 1 << 28) for _ in range(200))]
