@@ -196,7 +196,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     stars = nodes.groupBy("node").agg(F.min("set_id").alias("b"), F.max("set_id").alias("top")).where("b <> top").select("node", "b")
     edges = nodes.join(stars, "node").select(F.col("set_id").alias("a"), "b").where("a <> b")
     grouped = components(edges, "candidates")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
+    # per-class tables are written first, so that AQE can split the joins at a large class
+    sizes = stored(grouped.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     wanted = grouped.join(sizes, "component").join(members.select("set_id", "weight", "text_id"), F.col("node") == F.col("set_id"))
     wanted, small = sized(wanted.select("text_id", "set_id", "weight", "component", F.ceil(F.col("n") / block).alias("blocks")), "wanted", MAX_BROADCAST_ROWS // 4)
 
@@ -224,7 +225,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
     info = members.join(classes, F.col("set_id") == F.col("node"), "left").join(links, "set_id", "left")
     info = info.select("set_id", "weight", "low_id", F.coalesce("component", "set_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    total = info.groupBy("component").agg(F.min("low_id").alias("class_id"), F.sum("weight").alias("class_size"))
+    info = stored(info, "info")
+    total = stored(info.groupBy("component").agg(F.min("low_id").alias("class_id"), F.sum("weight").alias("class_size")), "totals")
     info = info.join(total, "component").select("set_id", F.col("component").alias("class_key"), "class_id", "class_size", "n_links")
     full = worded.select("doc_id", "text_id", "set_id").join(info, "set_id").drop("set_id")
     bare = signed.where("set_id IS NULL").select("doc_id", "text_id", F.lit(None).cast("long").alias("class_key"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
