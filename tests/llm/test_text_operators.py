@@ -424,7 +424,8 @@ def passage_corpus(seed=10):
     return [*texts, texts[3] if len(words(texts[3])) >= 50 else shared, None, "", shared[: len(shared) // 3]], shared
 
 
-def test_passages_match_brute_force(spark):
+@pytest.mark.parametrize("split", [5000, 2])
+def test_passages_match_brute_force(spark, split):
     texts, shared = passage_corpus()
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     ws = [words(t) for t in texts]
@@ -433,11 +434,11 @@ def test_passages_match_brute_force(spark):
         for j in range(len(w) - 49):
             where.setdefault(tuple(w[j : j + 50]), set()).add(i)
     exact = {(i, p) for i, w in enumerate(ws) for j in range(len(w) - 49) if len(where[tuple(w[j : j + 50])]) > 1 for p in range(j, j + 50)}
-    got = substring_dedup.report(docs).collect()
+    got = substring_dedup.report(docs, split=split).collect()
     found = {(r["doc_id"], p) for r in got for p in range(r["begin_word"], r["end_word"])}
     assert exact <= found
     assert {i for i, _ in found} == {i for i, _ in exact} | {1, 2}
-    clean = {i: t for i, t in map(tuple, substring_dedup.cut(docs).collect())}
+    clean = {i: t for i, t in map(tuple, substring_dedup.cut(docs, split=split).collect())}
     held = [i for i, t in clean.items() if " ".join(words(shared)) in " ".join(words(t))]
     assert len(held) == 1
     untouched = set(range(len(texts))) - {i for i, _ in found}
