@@ -40,8 +40,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _count(chars: str) -> str:
-    quoted = chars.replace("\\", "\\\\").replace("'", "\\'")
-    return f"(length(t) - length(translate(t, '{quoted}', '')))"
+    """Characters of ``t`` in a class: all others are removed, several times faster than translate()."""
+    return f"length(regexp_replace(t, '[^{chars}]+', ''))"
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -51,17 +51,17 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     full = "greatest(size(lines), 1)"
     parts = [
         f"{_count('#*$%&')} / {n}", f"{_count('|<>')} / {n}", f"{_count('!')} / {n}", f"{_count('?')} / {n}",
-        f"{_count('.,')} / {n}", f"{_count(_UPPER)} / {c}", f"{_count(_DIGIT)} / {c}", f"{_count('@_/=')} / {n}",
-        f"{_count('-;:()')} / {n}", f"{_count('[]{}' + chr(34))} / {n}", f"ln(1 + {w})", f"length(t) / {n} / 10",
+        f"{_count('.,')} / {n}", f"{_count('A-Z')} / {c}", f"{_count('0-9')} / {c}", f"{_count('@_/=')} / {n}",
+        f"{_count(';:()-')} / {n}", f"{_count('{}"')} / {n}", f"ln(1 + {w})", f"length(t) / {n} / 10",
         f"size(array_distinct(words)) / {n}", f"ln({n}) * size(array_distinct(words)) / {n} / 5",
         f"(size(lines) - size(array_distinct(lines))) / {full}", f"ln(1 + {n} / {full})",
-        f"least({w}, 50) / 50", f"(length(t) - length(regexp_replace(t, '[^\\\\x00-\\\\x7F]+', ''))) / {c}",
+        f"least({w}, 50) / 50", f"(octet_length(t) - length(t)) / {c}",
         f"size(array_distinct(transform(words, (x, i) -> xxhash64(x, words[greatest(i - 1, 0)])))) / {n}",
         f"greatest(length(t) - 20000, 0) / 100000",
     ]
     base = docs.select(*keep, F.expr("coalesce(text, '')").alias("t"))
-    words = pinned(F.expr(r"filter(split(t, '\\s+'), x -> x <> '')"))
-    lines = pinned(F.expr(r"filter(split(t, '\n'), x -> x <> '')"))
+    words = pinned(F.expr(r"array_remove(split(replace(t, '\n', ' '), ' '), '')"))
+    lines = pinned(F.expr(r"array_remove(split(t, '\n'), '')"))
     base = base.withColumns({"words": words, "lines": lines})
     return base.select(*keep, F.array(*[F.expr(p).cast("double") for p in parts]).alias("x"))
 
