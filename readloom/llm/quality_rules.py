@@ -36,14 +36,14 @@ _HAS_WORD = r"rlike({0}, '[^\\x20\\x09-\\x0D]')"
 
 
 def _symbols(c: str) -> str:
-    return f"(length({c}) - length(translate({c}, '#*$%&|<>', '')))"
+    return f"length(regexp_replace({c}, '[^#*$%&|<>]+', ''))"
 
 
 def line_fails(line: str) -> str:
     """SQL condition: the line breaks a punctuation, navigation or boilerplate rule."""
     phrases = "|".join(PHRASES)
     punctuation = f"10 * {_symbols(line)} > length({line}) OR NOT rlike({line}, '\\\\p{{L}}')"
-    bars = f"length({line}) - length(translate({line}, '|', '')) >= 3"
+    bars = f"length({line}) - length(replace({line}, '|', '')) >= 3"
     short = f"NOT rlike({line}, '[.!?\"\\':;)]\\\\s*\\\\z') AND size(split(trim({line}), '\\\\s+')) <= 2"
     return f"({punctuation} OR {bars} OR ({short}) OR rlike(lower({line}), '{phrases}'))"
 
