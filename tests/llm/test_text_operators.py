@@ -447,6 +447,27 @@ def test_passages_match_brute_force(spark, split):
     assert again == 0
 
 
+def same_sets(a, b, width=46):
+    s, t = set(a), set(b)
+    return len(s & t) * 5 >= 4 * len(s | t)
+
+
+@pytest.mark.parametrize("n", [46, 47, 49, 60])
+def test_inserted_word_is_found_at_every_alignment(n):
+    r = np.random.default_rng(n)
+    core = r.integers(0, 1 << 62, n)
+    for at in range(n - 4):
+        put = np.concatenate([core[:at], r.integers(0, 1 << 62, 5), core[at + 4 :]])  # the shingles over one new word
+        a = np.concatenate([r.integers(0, 1 << 62, 70), core, r.integers(0, 1 << 62, 70)]).astype(np.uint64)
+        b = np.concatenate([r.integers(0, 1 << 62, 80), put, r.integers(0, 1 << 62, 70)]).astype(np.uint64)
+        for d, seed in ((10, 70), (11, 70 + at + 4)):
+            if d == 10 and at == 0 or seed >= 70 + n:
+                continue
+            got, _ = substring_dedup.mark(a, b, [(seed << 20, seed + d << 20)], 46, 4, 5)
+            want = [x for x in range(max(0, seed - 46), seed + 47) if x + 46 <= len(a) and x + d + 46 <= len(b) and same_sets(a[x : x + 46].tolist(), b[x + d : x + d + 46].tolist())]
+            assert set(want) <= set(np.flatnonzero(got).tolist())
+
+
 def test_passage_edges(spark, edge, nothing):
     assert substring_dedup.report(nothing).count() == 0 and substring_dedup.cut(nothing).count() == 0
     out = substring_dedup.cut(edge)
