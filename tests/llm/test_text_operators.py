@@ -468,6 +468,12 @@ def test_inserted_word_is_found_at_every_alignment(n):
             assert set(want) <= set(np.flatnonzero(got).tolist())
 
 
+def test_later_seeds_on_a_diagonal_are_passed_on():
+    rid, pos = np.array([1, 2, 1, 2]), np.array([40, 40, 300, 300]) << 20
+    rows = list(zip(*(c.tolist() for c in substring_dedup._combine(np.array([5, 5, 6, 6]), rid, pos))))
+    assert {(x[-4], x[-3], x[-2], x[-1]) for x in rows if x[-1] >= 0} == {(2, p << 20, 1, p << 20) for p in (40, 300)}
+
+
 def test_passage_edges(spark, edge, nothing):
     assert substring_dedup.report(nothing).count() == 0 and substring_dedup.cut(nothing).count() == 0
     out = substring_dedup.cut(edge)
