@@ -474,6 +474,21 @@ def test_later_seeds_on_a_diagonal_are_passed_on():
     assert {(x[-4], x[-3], x[-2], x[-1]) for x in rows if x[-1] >= 0} == {(2, p << 20, 1, p << 20) for p in (40, 300)}
 
 
+def test_recall_of_changed_passages():
+    """Passages of 50 words with one changed word, J = 41/51: the share that meets in a group, and brute force."""
+    r, n, met = np.random.default_rng(5), 2000, 0
+    assert 1 - (1 - substring_dedup.THRESHOLD**2) ** substring_dedup.PAIRS >= substring_dedup.RECALL
+    a = r.integers(0, 1 << 62, (n, 46)).astype(np.uint64)
+    b = a.copy()
+    b[:, 20:25] = r.integers(0, 1 << 62, (n, 5))
+    assert all(same_sets(x, y) for x, y in zip(a.tolist(), b.tolist()))
+    doc = np.repeat(np.arange(n), 46)
+    (key, x, _, _), (key2, x2, _, _) = (substring_dedup.compact_windows(g.reshape(-1), doc, 46) for g in (a, b))
+    held = set(zip(doc[x].tolist(), key.tolist()))
+    met = len({d for d, k in zip(doc[x2].tolist(), key2.tolist()) if (d, k) in held})
+    assert met >= 0.997 * n
+
+
 def test_passage_edges(spark, edge, nothing):
     assert substring_dedup.report(nothing).count() == 0 and substring_dedup.cut(nothing).count() == 0
     out = substring_dedup.cut(edge)
