@@ -489,6 +489,28 @@ def test_recall_of_changed_passages():
     assert met >= 0.997 * n
 
 
+def test_passages_behind_a_frequent_line(spark):
+    """A line of 40 words in all texts, and pairs of texts that share 52 words around it, against brute force."""
+    r = random.Random(31)
+    fill = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, texts = fill(40), []
+    for _ in range(60):
+        texts.append([*fill(30), *line, *fill(30)])
+    for _ in range(40):
+        held = [*fill(6), *line, *fill(6)]
+        texts += [[*fill(30), *held, *fill(30)] for _ in range(2)]
+    where = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            where.setdefault(tuple(t[j : j + 50]), set()).add(i)
+    exact = {(i, p) for i, t in enumerate(texts) for j in range(len(t) - 49) if len(where[tuple(t[j : j + 50])]) > 1 for p in range(j, j + 50)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    # one pair of functions: nearly every key lies in the line
+    got = substring_dedup.report(docs, pairs=1).collect()
+    found = {(x["doc_id"], p) for x in got for p in range(x["begin_word"], x["end_word"])}
+    assert len(exact) == 80 * 52 and exact <= found and {i for i, _ in found} == {i for i, _ in exact}
+
+
 def test_passage_edges(spark, edge, nothing):
     assert substring_dedup.report(nothing).count() == 0 and substring_dedup.cut(nothing).count() == 0
     out = substring_dedup.cut(edge)
