@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 
+#: Longer reads are extended over several chunks.
 MAX_READ = 256
 
 
@@ -64,7 +65,7 @@ def _prefix(a: bytes, b: bytes, at: int = 0) -> int:
     return at + (int(x.argmax()) if x.any() else n - at)
 
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extend(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     names = ["read_id", "strand", "chrom", "pos", "mm", "m", "alt", "m2"]
     for b in batches:
         col = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
@@ -73,6 +74,11 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             read, ref = probe.encode(), window.encode()
             m = _prefix(read, ref)
             alt, m2 = None, m
+            if m < k:  # the substituted base of the seed; never the read's last one
+                if m + 1 < len(read):
+                    m2 = _prefix(read, ref, m + 1)
+                    rows.append((read_id, strand, chrom, pos, m, m2, chr(ref[m]), m2))
+                continue
             if len(read) - m >= 3 and m < len(ref):
                 far = _prefix(read, ref, m + 1)
                 if far > m + 1:
@@ -85,28 +91,54 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _HIT = "read_id long, strand string, chrom string, pos long, mm int, m int, alt string, m2 int"
 
 
-def hits(reads: DataFrame, index: SeedIndex) -> DataFrame:
-    """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``."""
+def _long_windows(found: DataFrame, index: SeedIndex) -> DataFrame:
+    """The windows of reads over ``MAX_READ``, put together from all chunks they lie in."""
+    k, names = index.k, ["read_id", "strand", "chrom", "pos", "seq"]
+    begin = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.greatest(F.col("pos") + k - F.length("seq"), F.lit(0)))
+    stop = F.when(F.col("strand") == "+", F.col("pos") + F.length("seq")).otherwise(F.col("pos") + k)
+    rows = found.select(*names, begin.alias("begin"), stop.alias("stop"))
+    rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / CHUNK), F.floor((F.col("stop") - 1) / CHUNK))))
+    core = index.chunks.select("chrom", "chunk", F.expr(f"substring(text, int(chunk * {CHUNK} - first) + 1, {CHUNK})").alias("core"))
+    rows = rows.join(core, ["chrom", "chunk"]).groupBy(*names, "begin", "stop").agg(F.sort_array(F.collect_list(F.struct("chunk", "core"))).alias("parts"))
+    window = F.expr(f"substring(array_join(transform(parts, x -> x.core), ''), int(begin % {CHUNK}) + 1, int(stop - begin))")
+    return rows.select(*names, F.when(F.col("strand") == "+", window).otherwise(S.revcomp(window)).alias("window"))
+
+
+def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFrame:
+    """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``.
+
+    With ``mismatch``, first bases without a place on a strand are also looked up with each one substituted:
+    ``mm`` is that base (else -1), ``m`` and ``m2`` the prefix with it.
+    """
     k = index.k
     usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
     forward = usable.select("read_id", "seq", F.lit("+").alias("strand"), F.substring("seq", 1, k).alias("kmer"))
     reverse = forward.select("read_id", "seq", F.lit("-").alias("strand"), S.revcomp("kmer").alias("kmer"))
-    found = forward.unionByName(reverse).join(index.kmers, "kmer").withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    both = forward.unionByName(reverse)
+    found = both.join(index.kmers, "kmer")
+    if mismatch:
+        bare = both.join(index.kmers.select("kmer"), "kmer", "left_anti").withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(k))))
+        bare = bare.withColumn("base", F.explode(F.array(*map(F.lit, "ACGT")))).where("base <> substring(kmer, at, 1)")
+        found = found.unionByName(bare.withColumn("kmer", F.expr("overlay(kmer PLACING base FROM at)")).drop("at", "base").join(index.kmers, "kmer"))
     ahead = F.expr(f"substring(text, int(pos - first) + 1, {MAX_READ})")
     behind = F.expr(f"substring(text, int(greatest(pos + {k} - {MAX_READ}, first) - first) + 1, int(pos + {k} - greatest(pos + {k} - {MAX_READ}, first)))")
     window = F.when(F.col("strand") == "+", ahead).otherwise(S.revcomp(behind))
-    rows = found.join(index.chunks, ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
-    return rows.mapInArrow(_extend, _HIT)
+    near = found.where(F.length("seq") <= MAX_READ).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
+    rows = near.join(index.chunks, ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
+    rows = rows.unionByName(_long_windows(found.where(F.length("seq") > MAX_READ), index))
+    return rows.mapInArrow(lambda batches: _extend(batches, k), _HIT)
 
 
 def seed_align(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
     """(read_id, strand, prefix_len, mismatch_at, tail, n_loci): the longest prefix on each strand.
 
-    The prefix is exact; with ``allow_mismatch`` one mismatch after it is passed if a base behind it
-    matches again, each other base giving a record of its own. Fully matching reads have an empty tail.
+    The prefix is exact; with ``allow_mismatch`` one mismatch after it, or inside the first k bases of
+    reads without an exact place, is passed if a base behind it matches again, each other base giving a
+    record of its own. Fully matching reads have an empty tail.
     ``max_align`` > 0 drops reads with more places than that.
     """
-    found = hits(reads, index)
+    found = hits(reads, index, allow_mismatch)
+    inside, found = found.where("mm >= 0"), found.where("mm < 0")
     longest = found.groupBy("read_id", "strand").agg(F.max("m").alias("top"))
     at = found.join(longest, ["read_id", "strand"]).where("m = top")
     exact = at.groupBy("read_id", "strand").agg(F.max("m").alias("prefix_len"), F.count("*").alias("n_loci"))
@@ -117,6 +149,9 @@ def seed_align(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mis
         more = passed.join(n, ["read_id", "strand", "alt"]).select("read_id", "strand", F.col("far").alias("prefix_len"), "n_loci", F.col("m").alias("mismatch_at"), "alt")
         covered = more.select("read_id", "strand").distinct()
         exact = exact.join(covered, ["read_id", "strand"], "left_anti").unionByName(more)
+        # of places with a base of the seed substituted those with the shortest tail
+        best = inside.join(inside.groupBy("read_id", "strand").agg(F.max("m").alias("top")), ["read_id", "strand"]).where("m = top")
+        exact = exact.unionByName(best.groupBy("read_id", "strand", F.col("mm").alias("mismatch_at"), "alt").agg(F.max("m").alias("prefix_len"), F.count("*").alias("n_loci")))
     rows = exact.join(reads.select("read_id", F.upper("seq").alias("seq")), "read_id")
     rows = rows.withColumn("tail", F.expr("substring(seq, prefix_len + 1)")).drop("seq")
     if max_align > 0:

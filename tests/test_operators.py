@@ -252,6 +252,27 @@ def test_seed_alignment(spark):
     assert seeds.shortest_tail(seeds.seed_align(df, table)).count() >= seeds.merged(seeds.seed_align(df, table)).count()
 
 
+def test_seed_alignment_with_mismatch_in_the_seed_and_long_reads(spark):
+    r = random.Random(12)
+    c = dna(r, 4000)
+    other = lambda s, i: s[:i] + {"A": "C", "C": "G", "G": "T", "T": "A"}[s[i]] + s[i + 1 :]
+    table = modes.build(spark.createDataFrame([("c", c)], "chrom string, seq string"), 14)
+    reads = {i: other(c[100 * i : 100 * i + 40], i) for i in (0, 1, 6, 7, 12)} | {i + 20: other(rc(c[100 * i : 100 * i + 40]), i) for i in (0, 6, 12)}
+    df = spark.createDataFrame(list(reads.items()), "read_id long, seq string")
+    got = {(x["read_id"], x["strand"], x["mismatch_at"], x["prefix_len"], x["tail"]) for x in seeds.seed_align(df, table).collect()}
+    assert got == {(i, "+" if i < 20 else "-", i % 20, 40, "") for i in reads}
+    assert seeds.seed_align(df, table, allow_mismatch=False).count() == 0
+    # of two places the one with the shortest tail, though the exact prefix of the other is longer
+    seed = dna(r, 14)
+    two = modes.build(spark.createDataFrame([("a", other(seed, 3) + c[:40]), ("b", other(seed, 9) + c[50:90])], "chrom string, seq string"), 14)
+    x = seeds.seed_align(spark.createDataFrame([(1, seed + c[:40])], "read_id long, seq string"), two).collect()
+    assert [(y["mismatch_at"], y["prefix_len"]) for y in x] == [(3, 54)]
+    long = {1: c[900:1200], 2: c[50:3950] + "ACG", 3: rc(c[900:1300]), 4: rc(c[:3000]), 5: c[1000:1300]}
+    df = spark.createDataFrame(list(long.items()), "read_id long, seq string")
+    rows = {x["read_id"]: (x["strand"], x["prefix_len"]) for x in seeds.seed_align(df, table, allow_mismatch=False).collect()}
+    assert rows[1] == ("+", 300) and rows[3] == ("-", 400) and rows[4] == ("-", 3000) and rows[5] == ("+", 300) and rows[2][1] >= 3900
+
+
 def test_index_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([("c", "ACGTTGCAAGGCTTACGATTTGC")], "chrom string, seq string")
     table = modes.build(contigs, 8, str(tmp_path / "idx"))
