@@ -8,16 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import storage
-from ..storage import work_dir  # noqa: F401 (for the operators)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; shuffle files of finished jobs may go."""
-    out = storage.stored(df, label)
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop them
-    return out
-
+from ..storage import dropped, source_bytes, stored, work_dir  # noqa: F401 (for the operators)
 
 #: Rows of a key list that is broadcast: 1,000,000 longs are about 30 MB in a hash relation.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -27,7 +18,9 @@ def sized(df: DataFrame, label: str, rows: int = MAX_BROADCAST_ROWS) -> tuple[Da
     """``df`` written, and marked for broadcast if it has at most ``rows`` rows (then true)."""
     df = stored(df, label)
     small = df.count() <= rows
-    return (F.broadcast(df) if small else df), small
+    out = F.broadcast(df) if small else df
+    out._work_dir = df._work_dir
+    return out, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +33,29 @@ def ratio(value: float) -> tuple[int, int]:
     return f.numerator, f.denominator
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Source bytes for each partition of a shuffle whose number is given; such partitions spill, they needn't fit.
+PART_BYTES = 512 << 20
+
+
+def shuffle_parts(df: DataFrame) -> int:
+    """Partitions for a shuffle of ``df`` that needs a number: the session's, or more as its files are larger."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-source_bytes(df) // PART_BYTES))
+
+
+def unused(names, *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that none of ``names`` is equal to, in any case."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def pinned(c: Column) -> Column:

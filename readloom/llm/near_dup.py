@@ -219,7 +219,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE
         F.xxhash64("component", F.least("own", "with"), F.greatest("own", "with")).alias("cell"),
         F.expr("CASE WHEN own = with THEN 2 WHEN own < with THEN 0 ELSE 1 END").alias("side"), "set_id", "weight", "grams",
     )
-    cells = cells.repartition(shuffle_parts(spark), "cell").sortWithinPartitions("cell", "side", "set_id")
+    cells = cells.repartition(shuffle_parts(docs), "cell").sortWithinPartitions("cell", "side", "set_id")
     found = stored(verify(cells, num, den), "links")
     classes = components(found.select(F.col("set_id").alias("a"), F.col("other").alias("b")), "classes")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))

@@ -57,7 +57,7 @@ def write_shards(docs: DataFrame, n_shards: int, seed: int = 17, bucket_bytes: i
     clash = {"slot", "shard"} & set(docs.columns)
     docs = docs.drop(*clash) if clash else docs
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(-(-size // bucket_bytes), shuffle_parts(spark)))
+    buckets = min(MAX_BUCKETS, max(-(-size // bucket_bytes), shuffle_parts(docs)))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(buckets)).cast("int")
     counts = np.zeros(buckets, np.int64)
     for b, n in docs.groupBy(bucket.alias("b")).count().toLocalIterator():

@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end_id: int =
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), *order).sortWithinPartitions(order[0], "text")
+    rows = rows.repartitionByRange(shuffle_parts(docs), *order).sortWithinPartitions(order[0], "text")
     rows.mapInArrow(encode, "part int, number int, n_ids long, data binary").write.option("compression", "snappy").option("parquet.block.size", 16 << 20).parquet(path)
 
 
