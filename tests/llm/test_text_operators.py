@@ -1,7 +1,9 @@
 import hashlib
+import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -267,10 +269,32 @@ def test_sharding(spark, edge, nothing, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and {len(s) for s in by.values()} <= {142, 143}
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
     assert abs(np.corrcoef(order, range(997))[0, 1]) < 0.15
+    # bucket, order inside it, permutation and shard, made anew
+    buckets = max(-(-sum(len(f"text {i % 50}") + 16 for i in range(997)) // 2000), 4)
+    key = F.xxhash64(F.lit(17), "doc_id", F.xxhash64("text"))
+    told = docs.select("doc_id", F.pmod(F.xxhash64(key, F.lit(0).cast("long")), F.lit(buckets)).cast("int").alias("b")).collect()
+    whole = []
+    for b in range(buckets):
+        own = sorted(x["doc_id"] for x in told if x["b"] == b)
+        whole += [own[i] for i in sharding.fisher_yates(len(own), 17, b)]
+    assert order == whole
     path = sharding.write_shards(edge, 3)
     back = spark.read.parquet(path)
-    assert back.count() == edge.count() and {"lang", "slot", "shard", "words"} <= set(back.columns)
-    assert sharding.shard_digest(nothing, 4).count() == 0
+    assert back.count() == edge.count() and {"lang", "slot", "shard", "words", "shard_"} <= set(back.columns)
+    left, right = ([tuple(x) for x in t.select("doc_id", "text", "lang", "n_words", "rid").collect()] for t in (back, edge))
+    assert sorted(map(str, left)) == sorted(map(str, right))
+    clash = docs.limit(20).withColumns({c: F.lit(1) for c in ("key", "bucket", "place", "number", "b__")})
+    assert sharding.shard_digest(nothing, 4).count() == 0 and spark.read.parquet(sharding.write_shards(clash, 2)).select(*clash.columns).distinct().count() == 20
+
+
+def test_sharding_of_hot_rows(spark):
+    """100,000 rows without id and text and 20,000 of one id: no bucket is much larger than others."""
+    rows = spark.range(0, 120_000, 1, 4).select(F.when(F.col("id") >= 100_000, F.lit(5).cast("long")).alias("doc_id"), F.when(F.col("id") >= 100_000, F.col("id").cast("string")).alias("text"))
+    keyed = sharding._numbered(rows.withColumn("key", F.xxhash64("doc_id", "text")), "key", "number")
+    sizes = [x["count"] for x in keyed.groupBy(F.pmod(F.xxhash64("key", "number"), F.lit(60)).alias("b")).count().collect()]
+    assert len(sizes) == 60 and max(sizes) < 1.5 * 2000
+    got = sharding.shard_digest(rows, 9, bucket_bytes=50_000).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.countDistinct("slot").alias("d")).collect()
+    assert len(got) == 9 and all((x["n"], x["a"], x["b"], x["d"]) == (x["n"], 0, x["n"] - 1, x["n"]) and x["n"] in (13333, 13334) for x in got)
 
 
 # -- quality --------------------------------------------------------------------------------------------------------
@@ -328,6 +352,48 @@ def test_quality_model(spark, edge, nothing):
     assert a.weights[0] > 0 > b.weights[0]
 
 
+DATA = Path(os.environ.get("READLOOM_TESTDATA", "/root/testdata/sf0.01"))
+
+
+def test_quality_vectors_match_brute_force(spark, edge):
+    """Shares and buckets of every text made anew, the score from them, and the fit by plain descent."""
+    rows = edge.select("doc_id", "text").collect()
+    texts = [x["text"] or "" for x in rows]
+    got = quality_model.grams(pa.array([x["text"] for x in rows], pa.string()))
+    for t, v in zip(texts, got):
+        raw, three = t.encode(), np.zeros(64)
+        for i in range(len(raw) - 2):
+            three[((raw[i] * 961 + raw[i + 1] * 31 + raw[i + 2]) * 2654435761 % 2**32) >> 26] += 1
+        assert np.allclose(v[64:], three / max(len(raw) - 2, 1)) and np.isclose(v[:64].sum(), 1.0 if words(t) else 0.0)
+    one = {t: g for t, g in zip(texts, got)}
+    assert np.allclose(quality_model.grams(pa.array(texts[::-1]))[::-1], got) and np.allclose(one["same same"][:64].max(), 1)
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(80, 6)), (r.random(80) < 0.6).astype(int)
+    x[y == 1, 2] += 1
+    model = quality_model.learn(x, y, l2=1e-2)
+    z = (x - x.mean(0)) / x.std(0)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    n = len(good) * len(bad)
+    rng = np.random.default_rng(7)
+    d = z[good[rng.permutation(np.arange(n) % len(good))]] - z[bad[rng.permutation(np.arange(n) % len(bad))]]
+    w = np.zeros(6)
+    for _ in range(4000):
+        w += 0.5 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 2e-2 * w)
+    assert np.allclose(model.weights * x.std(0), w, atol=1e-4)
+    raw = x @ model.weights + model.bias
+    assert (raw >= np.log(0.7 / 0.3)).sum() == len(good)  # the cut leaves as many as are labelled good
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_quality_model_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_model.classify(docs, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    right = sum(x["predicted"] == x["quality"] for x in got)
+    good, bad = ([x["score"] for x in got if x["quality"] == q] for q in (1, 0))
+    auc = np.mean([[(g > b) + 0.5 * (g == b) for b in bad] for g in good])
+    assert right >= 0.95 * len(got) and auc >= 0.98, (right / len(got), auc, len(got))
+
+
 # -- near duplicates ----------------------------------------------------------------------------------------------------
 
 
@@ -393,7 +459,50 @@ def test_near_edges(spark, edge, nothing):
     assert near_dup.keep_one(nothing).count() == 0
     same = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "A b c d e f g"), (None, "p q r s t u v"), (None, "p q, r s t u v")], "doc_id long, text string")
     assert sorted(x["text"] for x in near_dup.keep_one(same).collect()) in (["A b c d e f g", "p q r s t u v"], ["A b c d e f g", "p q, r s t u v"])
-    assert near_dup.depth_for(0.8, 16, recall=0.999) == 4 and near_dup.depth_for(0.8, 16, recall=0.9) > 4
+    assert near_dup.floor_for(0.8, 16, recall=0.999) == 4 and near_dup.floor_for(0.8, 16, recall=0.9) > 4
+
+
+def test_join_node_hangs_together_what_brute_force_does():
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        k = int(r.integers(3, 40))
+        sketch = r.integers(0, 256, (3, 128)).astype(np.uint8)[r.integers(0, 3, k)].copy()
+        for i in range(k):
+            m = int(r.integers(0, 90))
+            sketch[i, r.integers(0, 128, m)] = r.integers(0, 256, m)
+        near = (sketch[:, None] == sketch[None]).sum(-1) >= 80
+        want, got = np.arange(k), np.arange(k)
+        for _ in range(k):
+            want = np.array([want[near[i]].min() for i in range(k)])
+        for a, b in near_dup.join_node(sketch, sketch[:, :8], 80, 4):
+            assert near[a, b]
+            low, high = sorted((got[a], got[b]))
+            got[got == high] = low
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_weak_links_are_not_closed_over(spark):
+    """A chain of texts of which each shares a third with the next: no candidate group, whatever the closure would be."""
+    r = random.Random(12)
+    parts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, f"{parts[i]} {parts[i + 1]}") for i in range(299)], "doc_id long, text string")
+    signed = near_dup.signatures(docs, 16, 2)  # a floor so low that such texts meet in many nodes
+    shared = signed.select(F.explode("nodes").alias("n")).groupBy("n").count().where("count > 1").count()
+    joins = near_dup.candidates(signed.select("set_id", "nodes", "sketch"), 16, 8, 0.8, 2, 4)
+    assert shared > 50 and joins.count() == 0
+    assert {x["class_size"] for x in near_dup.near_classes(docs).collect()} == {1}
+
+
+def test_large_nodes_are_dealt_over_parts(spark):
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**9)}" for _ in range(200)]
+    rows = [(i, " ".join([*base[: r.randrange(199)], f"x{i}", *base[199:]]) if i % 3 == 0 else " ".join([*base[:190], *[f"y{r.randrange(10**9)}" for _ in range(5)]])) for i in range(60)]
+    signed = near_dup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 16, 4).select("set_id", "nodes", "sketch")
+    groups = []
+    for most in (4096, 7):
+        edges = near_dup.candidates(signed, 16, 8, 0.8, 4, 4, most)
+        groups.append({(x["node"], x["component"]) for x in components(edges).collect()})
+    assert groups[0] == groups[1] and groups[0]
 
 
 # -- repeated passages --------------------------------------------------------------------------------------------------------
