@@ -122,7 +122,7 @@ def _lookup(plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray,
 def assign(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; needs doc_id, piece, length and ids_crc32."""
     spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_parts(docs))).alias("salt__")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4 * shuffle_parts(pieces))).alias("salt__")
     salted = pieces.withColumn("salt__", salt)
     counts = salted.groupBy("length", "salt__").agg(F.count("*").alias("n__"))
     before = Window.partitionBy("length").orderBy("salt__").rowsBetween(Window.unboundedPreceding, -1)
