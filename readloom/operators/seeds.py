@@ -12,15 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .chunks import chunks
 
 #: Longer reads are extended over several chunks.
 MAX_READ = 256
-
-
 CHUNK = 1024
 
 
@@ -34,13 +33,17 @@ class SeedIndex:
 
 
 def build_index(contigs: DataFrame, k: int) -> SeedIndex:
-    """Every forward k-mer without N, with its place. Lower-case bases count as upper case."""
-    up = contigs.select("chrom", F.upper("seq").alias("seq")).where(F.length("seq") >= k)
-    rows = up.select("chrom", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k)).alias("pos"))
-    rows = rows.select(F.substring("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"), "chrom", F.col("pos").cast("long").alias("pos"))
-    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / CHUNK).cast("int"))
-    parts = up.select("chrom", "seq", F.explode(at).alias("chunk")).withColumn("first", F.greatest(F.col("chunk") * CHUNK - MAX_READ, F.lit(0)))
-    parts = parts.select("chrom", F.col("chunk").cast("long").alias("chunk"), F.col("first").cast("long").alias("first"), F.substring("seq", F.col("first") + 1, F.lit(CHUNK + 2 * MAX_READ)).alias("text"))
+    """Every forward k-mer without N, with its place. Lower-case bases count as upper case.
+
+    Contigs are cut into chunks first: time and memory grow with their bases, and one contig is work for many tasks.
+    """
+    if not 0 < k <= MAX_READ:
+        raise ValueError(f"k is from 1 to {MAX_READ}")
+    parts = chunks(contigs.select("chrom", F.upper("seq").alias("seq")).where(F.length("seq") >= k), CHUNK, MAX_READ, MAX_READ)
+    begin = F.col("chunk") * CHUNK
+    n = F.least(F.lit(CHUNK), F.length("text") - (begin - F.col("first")) - k + 1).cast("int")
+    at = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((begin + i).alias("pos"), F.substring(F.col("text"), (begin - F.col("first")).cast("int") + i + 1, F.lit(k)).alias("kmer")))
+    rows = parts.where(n > 0).select("chrom", F.explode(at).alias("x")).select("x.kmer", "chrom", "x.pos")
     return SeedIndex(k, rows.where(~F.col("kmer").rlike("[^ACGT]")), parts)
 
 
@@ -130,34 +133,61 @@ def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFram
 
 
 def seed_align(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
-    """(read_id, strand, prefix_len, mismatch_at, tail, n_loci): the longest prefix on each strand.
+    """(read_id, strand, prefix_len, mismatch_at, alt, tail, n_loci): the longest prefix on each strand.
 
     The prefix is exact; with ``allow_mismatch`` one mismatch after it, or inside the first k bases of
     reads without an exact place, is passed if a base behind it matches again, each other base giving a
     record of its own. Fully matching reads have an empty tail.
     ``max_align`` > 0 drops reads with more places than that.
     """
+    rows = _places(reads, index, allow_mismatch)
+    rows = rows.groupBy("read_id", "strand", "mismatch_at", "alt", "prefix_len").agg(F.count("*").alias("n_loci"))
+    return _finished(rows, reads, max_align, "n_loci").select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci")
+
+
+def seed_loci(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
+    """The records of ``seed_align``, one row for each place: ``chrom`` and ``pos`` (leftmost, 0-based) are added.
+
+    ``n_loci`` counts the places of the record. With ``name``, ``qual`` and ``seq`` of the reads joined, the rows
+    are what SAM and BED output take.
+    """
+    rows = _places(reads, index, allow_mismatch)
+    key = ["read_id", "strand", "mismatch_at", "alt", "prefix_len"]
+    counts = rows.groupBy(*key).agg(F.count("*").alias("n_loci"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    each = rows.alias("a").join(counts.alias("b"), (F.col("a.read_id") == F.col("b.read_id")) & same[1] & same[2] & same[3] & same[4]).select("a.*", "b.n_loci")
+    pos = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") + index.k - F.col("prefix_len"))
+    each = _finished(each.withColumn("pos", pos), reads, max_align, "1")
+    return each.select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci", "chrom", "pos")
+
+
+def _places(reads: DataFrame, index: SeedIndex, allow_mismatch: bool) -> DataFrame:
+    """(read_id, strand, mismatch_at, alt, prefix_len, chrom, pos): places of the records; ``pos`` is the seed's."""
     found = hits(reads, index, allow_mismatch)
+    names = ["read_id", "strand", "mismatch_at", "alt", "prefix_len", "chrom", "pos"]
     inside, found = found.where("mm >= 0"), found.where("mm < 0")
-    longest = found.groupBy("read_id", "strand").agg(F.max("m").alias("top"))
-    at = found.join(longest, ["read_id", "strand"]).where("m = top")
-    exact = at.groupBy("read_id", "strand").agg(F.max("m").alias("prefix_len"), F.count("*").alias("n_loci"))
-    exact = exact.withColumn("mismatch_at", F.lit(None).cast("int")).withColumn("alt", F.lit(None).cast("string"))
-    if allow_mismatch:
-        passed = at.where("alt IS NOT NULL").groupBy("read_id", "strand", "alt").agg(F.max("m2").alias("far"), F.max("m").alias("m"), F.max(F.struct("m2", F.lit(1))).alias("u"))
-        n = at.where("alt IS NOT NULL").join(passed.select("read_id", "strand", "alt", "far"), ["read_id", "strand", "alt"]).where("m2 = far").groupBy("read_id", "strand", "alt").agg(F.count("*").alias("n_loci"))
-        more = passed.join(n, ["read_id", "strand", "alt"]).select("read_id", "strand", F.col("far").alias("prefix_len"), "n_loci", F.col("m").alias("mismatch_at"), "alt")
-        covered = more.select("read_id", "strand").distinct()
-        exact = exact.join(covered, ["read_id", "strand"], "left_anti").unionByName(more)
-        # of places with a base of the seed substituted those with the shortest tail
-        best = inside.join(inside.groupBy("read_id", "strand").agg(F.max("m").alias("top")), ["read_id", "strand"]).where("m = top")
-        exact = exact.unionByName(best.groupBy("read_id", "strand", F.col("mm").alias("mismatch_at"), "alt").agg(F.max("m").alias("prefix_len"), F.count("*").alias("n_loci")))
-    rows = exact.join(reads.select("read_id", F.upper("seq").alias("seq")), "read_id")
+    top = Window.partitionBy("read_id", "strand")
+    at = found.withColumn("top", F.max("m").over(top)).where("m = top")
+    if not allow_mismatch:
+        return at.select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos")
+    # a place that passes a mismatch stands for its read and strand, by other base the farthest ones
+    at = at.withColumn("far", F.max("m2").over(Window.partitionBy("read_id", "strand", "alt"))).withColumn("any", F.max(F.col("alt").isNotNull()).over(top))
+    passed = at.where("alt IS NOT NULL AND m2 = far").select("read_id", "strand", F.col("m").alias("mismatch_at"), "alt", F.col("far").alias("prefix_len"), "chrom", "pos")
+    whole = at.where("NOT any").select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos")
+    # of places with a base of the seed substituted those with the shortest tail
+    best = inside.withColumn("top", F.max("m").over(top)).where("m = top")
+    best = best.select("read_id", "strand", F.col("mm").alias("mismatch_at"), "alt", F.col("m").alias("prefix_len"), "chrom", "pos")
+    return whole.select(names).unionByName(passed.select(names)).unionByName(best.select(names))
+
+
+def _finished(rows: DataFrame, reads: DataFrame, max_align: int, weight: str) -> DataFrame:
+    """``rows`` with ``tail``, without reads of more than ``max_align`` places."""
+    rows = rows.join(reads.select("read_id", F.upper("seq").alias("seq")), "read_id")
     rows = rows.withColumn("tail", F.expr("substring(seq, prefix_len + 1)")).drop("seq")
     if max_align > 0:
-        many = rows.groupBy("read_id").agg(F.sum("n_loci").alias("t")).where(F.col("t") > max_align)
+        many = rows.groupBy("read_id").agg(F.sum(F.expr(weight)).alias("t")).where(F.col("t") > max_align)
         rows = rows.join(many, "read_id", "left_anti")
-    return rows.select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci")
+    return rows
 
 
 def seed_mismatch(reads: DataFrame, index: SeedIndex) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .chunks import chunks
 
 CHUNK = 1 << 14
 # Scores of the quality classes, where they begin, and the least sum that masks.
@@ -47,10 +48,9 @@ def draw_fragments(spark, contigs: DataFrame, n: int, insert_mean: float, insert
 
 def fetch(fragments: DataFrame, contigs: DataFrame, longest: int = 4096, chunk: int = CHUNK) -> DataFrame:
     """``fragments`` with ``frag``, the bases of the insert on its strand."""
-    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / chunk).cast("int"))
-    parts = contigs.where(F.length("seq") > 0).select("chrom", F.upper("seq").alias("seq"), F.explode(at).alias("chunk"))
-    parts = parts.select("chrom", "chunk", F.substring("seq", F.col("chunk") * chunk + 1, F.lit(chunk + longest)).alias("part"))
-    rows = fragments.withColumn("chunk", F.floor(F.col("pos") / chunk).cast("int")).join(parts, ["chrom", "chunk"])
+    parts = chunks(contigs.select("chrom", F.upper("seq").alias("seq")), chunk, 0, longest, spread=False)
+    parts = parts.select("chrom", "chunk", F.col("text").alias("part"))
+    rows = fragments.withColumn("chunk", F.floor(F.col("pos") / chunk)).join(parts, ["chrom", "chunk"])
     frag = F.expr(f"substring(part, int(pos % {chunk}) + 1, insert_len)")
     return rows.withColumn("frag", F.when(F.col("strand") == "+", frag).otherwise(S.revcomp(frag))).drop("chunk", "part")
 

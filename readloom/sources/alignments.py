@@ -199,30 +199,45 @@ def pairs_of(bam: DataFrame) -> DataFrame:
     return one.join(two, "ordinal")
 
 
+def _each(rows: DataFrame) -> DataFrame:
+    """One row a locus ``l``, with the number of them."""
+    if "loci" in rows.columns:
+        return rows.withColumn("n_loci", F.size("loci")).withColumn("l", F.explode("loci"))
+    return rows.withColumn("l", F.struct("chrom", "pos"))
+
+
 def aligned_sam(rows: DataFrame) -> DataFrame:
-    """SAM columns of seed alignments with ``loci`` (chrom, pos): one row a locus.
+    """SAM columns of seed alignments: one row a locus, from ``loci`` (an array of chrom, pos), or from rows with
+    ``chrom``, ``pos`` and ``n_loci``.
 
-    CIGAR is prefix and soft-clipped tail, MAPQ 255 less the tail's length, tags NH and TL; reads on
-    the minus strand are printed reverse complemented.
+    CIGAR is prefix and soft-clipped tail, MAPQ 255 less the tail's length, tags NH, MD (with a mismatch:
+    ``mismatch_at`` and the reference's base ``alt``, both along the read) and TL; reads on the minus strand are
+    printed reverse complemented.
     """
     tail, back = F.length("tail"), F.col("strand") == "-"
-    each = rows.withColumn("l", F.explode("loci"))
+    each = _each(rows)
     clip = F.when(tail > 0, F.concat(tail.cast("string"), F.lit("S"))).otherwise("")
     body = F.concat(F.col("prefix_len").cast("string"), F.lit("M"))
     tag = lambda t, k, v: F.struct(F.lit(t).alias("tag"), F.lit(k).alias("type"), v.cast("string").alias("value"))
-    nh = tag("NH", "i", F.size("loci"))
+    tags = [tag("NH", "i", F.col("n_loci"))]
+    if "mismatch_at" in rows.columns:
+        front, rest = F.col("mismatch_at"), (F.col("prefix_len") - F.col("mismatch_at") - 1).cast("string")
+        first = F.when(front > 0, front.cast("string")).otherwise("")
+        md = F.when(back, F.concat(rest, S.complement(F.col("alt")), first)).otherwise(F.concat(first, F.col("alt"), rest))
+        tags.append(F.when(front.isNotNull(), tag("MD", "Z", md)))
+    tags.append(F.when(tail > 0, tag("TL", "Z", F.col("tail"))))
     return each.select(
         F.col("name").alias("qname"), F.when(back, 16).otherwise(0).alias("flag"), F.col("l.chrom").alias("rname"), (F.col("l.pos") + 1).cast("int").alias("pos"),
         (255 - tail).alias("mapq"), F.when(back, F.concat(clip, body)).otherwise(F.concat(body, clip)).alias("cigar"), F.lit("*").alias("rnext"),
         F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.when(back, S.revcomp("seq")).otherwise(F.col("seq")).alias("seq"),
-        F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), F.when(tail > 0, F.array(nh, tag("TL", "Z", F.col("tail")))).otherwise(F.array(nh)).alias("tags"),
+        F.when(back, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"), F.array_compact(F.array(*tags)).alias("tags"),
     )
 
 
 def to_bed(rows: DataFrame, count: str = "n") -> DataFrame:
     """(chrom, begin, stop, strand, name, tail, reads) a locus; reads are shared equally among loci."""
-    each = rows.withColumn("l", F.explode("loci"))
-    return each.select(F.col("l.chrom").alias("chrom"), F.col("l.pos").alias("begin"), (F.col("l.pos") + F.col("prefix_len")).alias("stop"), "strand", "name", "tail", (F.col(count) / F.size("loci")).alias("reads"))
+    each = _each(rows)
+    return each.select(F.col("l.chrom").alias("chrom"), F.col("l.pos").alias("begin"), (F.col("l.pos") + F.col("prefix_len")).alias("stop"), "strand", "name", "tail", (F.col(count) / F.col("n_loci")).alias("reads"))
 
 
 # -- region index: bins as partition folders -----------------------------------------------------------------
