@@ -1,7 +1,7 @@
 """Adapter search with few differences, over Arrow batches: all reads of a batch move together.
 
 A semi-global alignment of each adapter to each read. A mismatch costs by the base's quality (0.477
-to 4.477; 2.477 without qualities), a gap 4.477. Against the adapter's full length the cost must stay
+to 4.477; 2.477 without qualities), a gap 4.477 (2.477 for amplicon primers). Against the adapter's full length the cost must stay
 below ``epsilon * 2.477 * length + 0.001`` with at most ``ceil(delta * length)`` gaps; an adapter that
 runs off the read's end needs ``min_overlap`` bases and the same rate on these. The score is
 ``(2.477 * bases - cost) / (bases + 1)``; of adapters with the same score the first wins.
@@ -29,6 +29,7 @@ IUPAC_BASES = {
 }
 
 _PENALTY = np.array([0.477 if q <= 0 else 4.477 if q > 39 else 0.477 + q / 10 for q in range(-33, 223)])
+MAX_SEQ = (1 << 14) - 1
 
 
 def default_overlap(epsilon: float) -> int:
@@ -42,50 +43,65 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, epsilon: float, delta: float, min_overlap: int, head: bool, tail: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Start of the best alignment of ``adapter`` in each read, and its score (-inf: none)."""
+#: Costs are whole millionths in a number's high bits; below them the way it was reached, and the start.
+_UNIT, _WAY, _HIGH = 1_000_000, 14, 16
+_BIG = 1 << 60
+
+
+def _packed(cost: float) -> int:
+    return round(cost * _UNIT) << _HIGH
+
+
+def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, epsilon: float, delta: float, min_overlap: int, head: bool, tail: bool = True, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Start of the best alignment of ``adapter`` in each read, and its score (-inf: none).
+
+    ``cost`` has the mismatch costs in whole millionths. A cell holds cost and start in one number, so the better
+    way into it is a minimum: of equal costs a match goes before a skipped base of the adapter, that before one
+    of the read.
+    """
     n, width = reads.shape
     length = len(adapter)
     gaps = math.ceil(delta * length)
     least = min(min_overlap, length - gaps + 1)
     rate = epsilon * MU
-    big = 1e9
     best, at = np.full(n, -np.inf), np.zeros(n, np.int64)
-    c = [np.zeros((n, width + 1))] + [np.full((n, width + 1), big) for _ in range(gaps)]
-    s = [np.tile(np.arange(width + 1, dtype=np.int32), (n, 1)) for _ in range(gaps + 1)]
-    rows = np.arange(n)
-    partial = []
+    skip, over = _packed(gap) | 1 << _WAY, _packed(gap) | 2 << _WAY
+    clear, low_bits = ~np.int64(3 << _WAY), (1 << _WAY) - 1
+    c, nc = (np.full((gaps + 1, n, width + 1), _BIG, np.int64) for _ in range(2))
+    c[0] = np.arange(width + 1)
+    work, rows, partial, steps = np.empty((n, width), np.int64), np.arange(n), [], {}
+    high = cost.astype(np.int64) << _HIGH
     for j in range(1, length + 1):
-        bases = np.frombuffer(IUPAC_BASES.get(adapter[j - 1], adapter[j - 1]).encode(), np.uint8)
-        step = np.where(np.isin(reads, bases), 0.0, cost)
-        nc, ns = [], []
+        letter = adapter[j - 1]
+        if letter not in steps:
+            same = np.zeros(256, bool)
+            same[list(IUPAC_BASES.get(letter, letter).encode())] = True
+            steps[letter] = np.where(same[reads], 0, high)
+        step = steps[letter]
         for g in range(gaps + 1):
-            x = np.full((n, width + 1), big)
-            x[:, 1:] = c[g][:, :-1] + step
-            y = np.zeros((n, width + 1), np.int32)
-            y[:, 1:] = s[g][:, :-1]
-            if g == 0 and head and j <= length - least:
-                x[:, 0] = rate * j
+            x = nc[g]
+            np.add(c[g][:, :-1], step, out=x[:, 1:])
+            x[:, 0] = _packed(rate * j) if g == 0 and head and j <= length - least else _BIG
             if g:
-                for cand, start in ((c[g - 1] + GAP, s[g - 1]), (np.pad(nc[g - 1][:, :-1] + GAP, ((0, 0), (1, 0)), constant_values=big), np.pad(ns[g - 1][:, :-1], ((0, 0), (1, 0))))):
-                    less = cand < x
-                    x = np.where(less, cand, x)
-                    y = np.where(less, start, y)
-            nc.append(x)
-            ns.append(y)
-        c, s = nc, ns
+                np.minimum(x[:, 1:], np.add(c[g - 1][:, 1:], skip, out=work), out=x[:, 1:])
+                np.minimum(x[:, 0], c[g - 1][:, 0] + skip, out=x[:, 0])
+                np.minimum(x[:, 1:], np.add(nc[g - 1][:, :-1], over, out=work), out=x[:, 1:])
+                np.bitwise_and(x, clear, out=x)
+        c, nc = nc, c
         if tail and least <= j < length:
-            ends = np.array([x[rows, size] for x in c])
-            g = ends.argmin(0)
-            partial.append((j, ends[g, rows], np.array([x[rows, size] for x in s])[g, rows]))
-    full = np.minimum.reduce(c)
-    full[np.arange(width + 1)[None, :] > size[:, None]] = big
+            ends = c[:, rows, size]
+            g = (ends >> _HIGH).argmin(0)
+            ends = ends[g, rows]
+            partial.append((j, (ends >> _HIGH) / _UNIT, ends & low_bits))
+    full = np.minimum.reduce(c >> _HIGH)
+    full[np.arange(width + 1)[None, :] > size[:, None]] = _BIG
     low = full.min(1)
     # of equally good places the last one
-    end = width - np.argmax((full <= low[:, None] + 1e-9)[:, ::-1], 1)
+    end = width - np.argmax((full == low[:, None])[:, ::-1], 1)
+    low = low / _UNIT
     ok = (low < rate * length + 0.001) & (size > 0)
-    g = np.array([x[rows, end] for x in c]).argmin(0)
-    start = np.array([x[rows, end] for x in s])[g, rows]
+    last = c[:, rows, end]
+    start = last[(last >> _HIGH).argmin(0), rows] & low_bits
     best[ok], at[ok] = (length * MU - low[ok]) / (length + 1), start[ok]
     for j, low, start in reversed(partial):
         score = (j * MU - low) / (j + 1)
@@ -94,7 +110,7 @@ def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, e
     return at, best
 
 
-def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: str = "tail", epsilon: float = 0.1, delta: float = 0.03, min_overlap: int | None = None, base: int = 33):
+def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: str = "tail", epsilon: float = 0.1, delta: float = 0.03, min_overlap: int | None = None, base: int = 33, gap: float = GAP):
     """(pos, idx, score) arrays: bases left, adapter number (-1: none found) and score.
 
     Modes: ``tail`` cuts the adapter and what follows; ``head`` the adapter and what comes before, so
@@ -105,18 +121,20 @@ def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: st
     n, flip = len(seqs), mode == "head"
     size = np.array([len(x) for x in seqs], np.int64)
     width = int(size.max(initial=0))
+    if width > MAX_SEQ:
+        raise ValueError(f"reads of at most {MAX_SEQ} bases")
     pos, idx, score = size.copy(), np.full(n, -1), np.full(n, -np.inf)
-    for a in range(0, n, 512):
-        part = slice(a, min(n, a + 512))
+    for a in range(0, n, 256):
+        part = slice(a, min(n, a + 256))
         m = size[part]
         texts = [x[::-1] if flip else x for x in seqs[part]]
         reads = _codes(texts, width)
         if quals is None:
-            cost = np.full(reads.shape, MU)
+            cost = np.full(reads.shape, round(MU * _UNIT))
         else:
             q = [(t or "")[::-1] if flip else (t or "") for t in quals[part]]
             marks = _codes([t[: len(x)] for t, x in zip(q, seqs[part])], width)
-            cost = np.where(marks > 0, _PENALTY[np.clip(marks.astype(int) - base + 33, 0, 255)], MU)
+            cost = np.where(marks > 0, np.rint(_PENALTY * _UNIT).astype(np.int64)[np.clip(marks.astype(int) - base + 33, 0, 255)], round(MU * _UNIT))
         for k, text in enumerate(adapters):
             word = text[::-1] if flip else text
             # an exact whole adapter has the best score there is, so such reads need no alignment
@@ -124,7 +142,7 @@ def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: st
             got = np.full(len(texts), len(word) * MU / (len(word) + 1))
             rest = np.flatnonzero(at < 0)
             if len(rest):
-                at[rest], got[rest] = align(reads[rest], cost[rest], m[rest], word, epsilon, delta, least, mode == "any")
+                at[rest], got[rest] = align(reads[rest], cost[rest], m[rest], word, epsilon, delta, least, mode == "any", gap=gap)
             more = got > score[part]
             pos[part] = np.where(more, np.clip(at, 0, m), pos[part])
             idx[part] = np.where(more, k, idx[part])
@@ -167,11 +185,10 @@ def rc_score(r1: str, q1: str, r2: str, q2: str, size: int, base: int = 33) -> f
         return 0.0
     comp = str.maketrans("ACGTacgt", "TGCATGCA")
     mate = r2[:size][::-1].translate(comp)
-    cost = 0.0
-    for i, (x, y) in enumerate(zip(r1[:size], mate)):
-        if x != y:
-            cost += _PENALTY[min(ord(q1[i]), ord(q2[size - 1 - i])) - base + 33]
-    return (size * MU - cost) / (size + 1)
+    code = lambda t: np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
+    wrong = np.flatnonzero(code(r1[:size]) != code(mate))
+    worse = np.minimum(code(q1[:size])[wrong], code(q2[:size][::-1])[wrong]).astype(int)
+    return (size * MU - float(_PENALTY[worse - base + 33].sum())) / (size + 1)
 
 
 def pair_scan(r1, q1, r2, q2, adapters1, adapters2, allowed: set | None = None, epsilon: float = 0.1, tolerance: int = 1, **options) -> list[tuple[int, int, int]]:
@@ -222,8 +239,8 @@ def amplicon(seqs: list[str], quals: list[str], forward: list[str], reverse: lis
     n = np.array([len(x) for x in seqs])
     best = None
     for flip, (heads, ends) in enumerate(((forward, reverse), (reverse, forward))):
-        hp, hi, hs = scan(seqs, quals, heads, "head", **options)
-        tp, ti, ts = scan(seqs, quals, [rc(p) for p in ends], "tail", **options)
+        hp, hi, hs = scan(seqs, quals, heads, "head", gap=MU, **options)
+        tp, ti, ts = scan(seqs, quals, [rc(p) for p in ends], "tail", gap=MU, **options)
         score = np.where(hi >= 0, hs, 0.0) + np.where(ti >= 0, ts, 0.0)
         begin = np.where(hi >= 0, n - hp, 0) if cut else np.zeros(len(n), int)
         end = np.where(ti >= 0, tp, n) if cut else n
