@@ -2,23 +2,92 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .chunks import chunks
+
+
+#: Distinct cells that a task holds before it passes its counts on.
+_CELLS = 1 << 20
+
+
+def cells(rows: DataFrame, codes, names: list[str], shapes: list[int]) -> DataFrame:
+    """(names..., n): how often each cell occurs, cells being whole numbers under ``shapes``.
+
+    ``codes`` maps an Arrow batch to arrays of cell numbers, one for each name. They are counted inside the task, so
+    what is shuffled are tables of counts, not bases.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(key, n):
+            key, at = np.unique(key, return_inverse=True)
+            return key, np.bincount(at, n, len(key)).astype(np.int64)
+
+        def out(key, n):
+            columns = []
+            for size in reversed(shapes):
+                columns.append(pa.array(key % size, pa.int32()))
+                key = key // size
+            return pa.RecordBatch.from_arrays([*reversed(columns), pa.array(n)], [*names, "n"])
+
+        held, size = [], 0
+        for b in batches:
+            key = np.zeros(1, np.int64)
+            for c, most in zip(codes(b), shapes):
+                key = key * most + c
+            held.append(table(key, None) if len(key) else (key, np.zeros(0, np.int64)))
+            size += len(held[-1][0])
+            if size > _CELLS:
+                held = [table(*(np.concatenate(x) for x in zip(*held)))]
+                size = len(held[0][0])
+                if size > _CELLS:
+                    yield out(*held[0])
+                    held, size = [], 0
+        if held:
+            yield out(*table(*(np.concatenate(x) for x in zip(*held))))
+
+    made = rows.mapInArrow(count, ", ".join(f"{n} int" for n in names) + ", n long")
+    return made.groupBy(*names).agg(F.sum("n").alias("n"))
+
 
+def _bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all strings of a column, the row of each, and its place in it; null counts as empty."""
+    text = text.cast(pa.large_string()).fill_null("")
+    if not len(text) or text.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8)
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(text)), size)
+    return np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]], row, np.arange(len(row)) - np.repeat(at[:-1] - at[0], size)
 
-def cycles(reads: DataFrame, *keep: str, qual: str = "qual", base: int = 33) -> DataFrame:
-    """(keep..., cycle, q): one row a base, cycles from 1."""
-    values = F.transform(F.split(F.col(qual), ""), lambda c: F.ascii(c) - base)
-    return reads.where(F.length(qual) > 0).select(*keep, F.posexplode(values).alias("c", "q")).select(*keep, (F.col("c") + 1).alias("cycle"), "q")
+
+#: Cells of a cycle and of a quality (shifted, for encodings that go below 0).
+_CYCLE, _Q, _SHIFT = 1 << 20, 512, 128
+
+
+def _qualities(reads: DataFrame, base: int) -> DataFrame:
+    """(cycle, q, n) of all bases, cycles from 1."""
+
+    def codes(b: pa.RecordBatch):
+        value, _, place = _bytes(b.column(0))
+        return place + 1, value.astype(np.int64) - base + _SHIFT
+
+    made = cells(reads.select("qual"), codes, ["cycle", "q"], [_CYCLE, _Q])
+    return made.select("cycle", (F.col("q") - _SHIFT).alias("q"), "n")
 
 
 def quality_by_cycle(reads: DataFrame, cut: str | None = None, base: int = 33) -> DataFrame:
     """(cycle, n, mean_q); with ``cut`` trailing characters of that kind are left out."""
     if cut:
         reads = reads.withColumn("qual", F.regexp_replace("qual", f"\\Q{cut}\\E+$", ""))
-    return cycles(reads, base=base).groupBy("cycle").agg(F.count("*").alias("n"), F.avg("q").alias("mean_q"))
+    table = _qualities(reads, base)
+    return table.groupBy("cycle").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("q")).alias("s")).select("cycle", F.col("total").alias("n"), (F.col("s") / F.col("total")).alias("mean_q"))
 
 
 def read_quality_bins(reads: DataFrame, width: float = 0.5, base: int = 33) -> DataFrame:
@@ -28,11 +97,16 @@ def read_quality_bins(reads: DataFrame, width: float = 0.5, base: int = 33) -> D
 
 
 def transitions(reads: DataFrame, base: int = 33) -> DataFrame:
-    """(cycle, prev_q, q, n) of neighbouring qualities, by array arithmetic inside each read."""
-    q = F.transform(F.split("qual", ""), lambda c: F.ascii(c) - base)
-    rows = reads.where(F.length("qual") > 1).select(q.alias("v"))
-    pairs = F.expr("transform(sequence(1, size(v) - 1), i -> struct(i + 1 AS cycle, v[i - 1] AS prev_q, v[i] AS q))")
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.cycle", "p.prev_q", "p.q").agg(F.count("*").alias("n"))
+    """(cycle, prev_q, q, n) of neighbouring qualities."""
+
+    def codes(b: pa.RecordBatch):
+        value, row, place = _bytes(b.column(0))
+        value = value.astype(np.int64) - base + _SHIFT
+        k = np.flatnonzero(row[1:] == row[:-1]) + 1 if len(row) else np.zeros(0, np.int64)
+        return place[k] + 1, value[k - 1], value[k]
+
+    made = cells(reads.select("qual"), codes, ["cycle", "prev_q", "q"], [_CYCLE, _Q, _Q])
+    return made.select("cycle", (F.col("prev_q") - _SHIFT).alias("prev_q"), (F.col("q") - _SHIFT).alias("q"), "n")
 
 
 def transition_moments(table: DataFrame) -> DataFrame:
@@ -48,11 +122,17 @@ def transition_moments(table: DataFrame) -> DataFrame:
 
 
 def base_calls(aligned: DataFrame, base: int = 33) -> DataFrame:
-    """(ref, cycle, call, q, n) from (ref_seq, seq, qual) of equal length; ref in ACGT, call not N."""
-    z = F.arrays_zip(F.split("ref_seq", "").alias("r"), F.split("seq", "").alias("b"), F.split("qual", "").alias("q"))
-    rows = aligned.select(F.posexplode(z).alias("c", "x")).where(F.col("x.r").isin(*"ACGT") & (F.col("x.b") != "N"))
-    rows = rows.select(F.col("x.r").alias("ref"), (F.col("c") + 1).alias("cycle"), F.col("x.b").alias("call"), (F.ascii("x.q") - base).alias("q"))
-    return rows.groupBy("ref", "cycle", "call", "q").agg(F.count("*").alias("n"))
+    """(ref, cycle, call, q, n) from (ref_seq, seq, qual) of equal length; ref in ACGT, call not N. Other rows are left out."""
+
+    def codes(b: pa.RecordBatch):
+        (ref, _, place), (call, _, _), (q, _, _) = (_bytes(b.column(i)) for i in range(3))
+        k = np.flatnonzero(np.isin(ref, np.frombuffer(b"ACGT", np.uint8)) & (call != ord("N")))
+        return ref[k], place[k] + 1, call[k], q[k].astype(np.int64) - base + _SHIFT
+
+    size = F.octet_length("ref_seq")
+    rows = aligned.select("ref_seq", "seq", "qual").where((size == F.octet_length("seq")) & (size == F.octet_length("qual")))
+    made = cells(rows, codes, ["ref", "cycle", "call", "q"], [128, _CYCLE, 128, _Q])
+    return made.select(F.char("ref").alias("ref"), "cycle", F.char("call").alias("call"), (F.col("q") - _SHIFT).alias("q"), "n")
 
 
 def merge_counts(*tables: DataFrame, value: str = "n") -> DataFrame:
@@ -117,7 +197,10 @@ def alignment_counts(aligned: DataFrame) -> DataFrame:
 
 
 def gc_depth(windows: DataFrame, least_known: int = 30, most_n: float = 0.75) -> DataFrame:
-    """GC bins of (seq, depth) windows: count, mean, quartiles, whiskers at 1.5 IQR, min and max.
+    """GC bins of (seq, depth) windows: count, mean, quartiles, whiskers within 1.5 IQR, min and max.
+
+    Quartiles follow ranks: of an odd count values stand for them, of an even one the first two lie between two
+    values and the third is one. Bins of fewer than 3 (odd) or 4 (even) windows have quartiles of 0.
 
     Windows with N of 75 % or more, or with 30 or fewer known bases, are left out; the bin of a window
     is the integer part of its GC percent, named by its middle.
@@ -125,20 +208,32 @@ def gc_depth(windows: DataFrame, least_known: int = 30, most_n: float = 0.75) ->
     size, n = F.length("seq"), S.count_chars("seq", "Nn")
     rows = windows.where((n < most_n * size) & (size - n > least_known))
     rows = rows.select((F.floor(S.gc_percent("seq")) + 0.5).alias("gc"), F.col("depth").cast("double").alias("d"))
-    q = F.percentile("d", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy("gc").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), q.alias("q"), F.min("d").alias("low"), F.max("d").alias("high"))
-    fence = 1.5 * (F.col("q")[2] - F.col("q")[0])
-    return out.select(
-        "gc", "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"),
-        F.greatest("low", F.col("q")[0] - fence).alias("whisker_low"), F.least("high", F.col("q")[2] + fence).alias("whisker_high"), "low", "high",
+    w, n = Window.partitionBy("gc"), F.col("n")
+    ranked = rows.withColumns({"k": F.row_number().over(w.orderBy("d")), "n": F.count("*").over(w)})
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("d")))
+    # ranks from 1, of values in order; an even count lies between two of them for the first two quartiles
+    quarter, half = F.floor((n + 1) / 4), F.floor((n + 1) / 2)
+    third = quarter * 3
+    out = ranked.groupBy("gc", "n").agg(
+        F.avg("d").alias("mean"), F.min("d").alias("low"), F.max("d").alias("high"), at(quarter).alias("a1"), at(quarter + 1).alias("b1"), at(half).alias("a2"),
+        at(half + 1).alias("b2"), at(third).alias("a3"),
+    )
+    between = lambda a, b, k: F.when(n % 2 == 0, F.col(a) + (F.col(b) - F.col(a)) * (k - F.floor(k))).otherwise(F.col(a))
+    few = n < F.when(n % 2 == 0, 4).otherwise(3)
+    zero = F.lit(0.0)
+    out = out.select("gc", "n", "mean", "low", "high", F.when(few, zero).otherwise(between("a1", "b1", (n + 1) / 4)).alias("q1"), F.when(few, zero).otherwise(between("a2", "b2", (n + 1) / 2)).alias("q2"), F.when(few, zero).otherwise(F.col("a3")).alias("q3"))
+    fence = 1.5 * (F.col("q3") - F.col("q1"))
+    # the whiskers end at values: the first above the lower fence, the last not above the upper one
+    ends = rows.join(out.select("gc", (F.col("q1") - fence).alias("f0"), (F.col("q3") + fence).alias("f1")), "gc").groupBy("gc").agg(
+        F.min(F.when(F.col("d") > F.col("f0"), F.col("d"))).alias("w0"), F.max(F.when(F.col("d") <= F.col("f1"), F.col("d"))).alias("w1"),
     )
+    out = out.join(ends, "gc")
+    return out.select("gc", "n", "mean", "q1", "q2", "q3", F.coalesce("w0", "high").alias("whisker_low"), F.coalesce("w1", "low").alias("whisker_high"), "low", "high")
 
 
 def tiles(contigs: DataFrame, width: int) -> DataFrame:
     """(chrom, tile, seq): windows of ``width`` bases."""
-    at = F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / width).cast("int"))
-    rows = contigs.where(F.length("seq") > 0).select("chrom", "seq", F.explode(at).alias("tile"))
-    return rows.select("chrom", "tile", F.substring("seq", F.col("tile") * width + 1, F.lit(width)).alias("seq"))
+    return chunks(contigs.where(F.length("seq") > 0), width).select("chrom", F.col("chunk").cast("int").alias("tile"), F.col("text").alias("seq"))
 
 
 def tile_quality(reads: DataFrame, pattern: str = r"^[^:]*:\d+:(\d+):", prefixes: tuple[int, ...] = (1, 5, 10, 15, 30, 50)) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,13 +58,18 @@ def _counted(rows: DataFrame, base: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, n = None, 0
         for b in batches:
-            at = []
-            for key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            # a split's lines follow one another: only where a split begins is looked at by itself
+            block, base = (b.column(i).to_numpy() for i in (1, 2))
+            file = pc.run_end_encode(b.column(0), run_end_type=pa.int32())
+            cut = np.unique(np.concatenate([[0], np.flatnonzero((block[1:] != block[:-1]) | (base[1:] != base[:-1])) + 1, np.asarray(file.run_ends)[:-1]])).astype(np.int64) if b.num_rows else []
+            line = np.empty(b.num_rows, np.int64)
+            for begin, end in zip(cut, [*cut[1:], b.num_rows]):
+                key = (b.column(0)[int(begin)].as_py(), int(block[begin]))
                 if key != now:
                     now, n = key, 0
-                at.append(key[2] + n)
-                n += 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.int64()), b.column(3)], ["file", "line", "value"])
+                line[begin:end] = base[begin] + n + np.arange(end - begin)
+                n += int(end - begin)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(line), b.column(3)], ["file", "line", "value"])
 
     return joined.mapInArrow(count, "file string, line long, value string")
 
@@ -72,28 +79,32 @@ def framed(numbered_lines: DataFrame, size: int) -> DataFrame:
     rows = numbered_lines.select("file", "line", "value")
 
     def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        held: dict = {}
-
-        def close():
-            if held:
-                out.append((held["file"], held["record"], held["at"], held["lines"]))
-                held.clear()
-
+        held = None  # lines of a record that the next batch may go on with
         for b in batches:
-            for file, line, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                record, at = divmod(line, size)
-                if held and (held["file"] != file or held["record"] != record or held["at"] + len(held["lines"]) != at):
-                    close()
-                if not held:
-                    held.update(file=file, record=record, at=at, lines=[])
-                held["lines"].append(value)
-                if at == size - 1:
-                    close()
-            yield _frames(out)
-            out = []
-        close()
-        yield _frames(out)
+            if held is not None and held.num_rows:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            held = None
+            if not b.num_rows:
+                continue
+            line = b.column(1).to_numpy()
+            file = pc.run_end_encode(b.column(0), run_end_type=pa.int32())
+            new = (line // size)[1:] != (line // size)[:-1]
+            new |= line[1:] != line[:-1] + 1
+            new[np.asarray(file.run_ends)[:-1] - 1] = True
+            cut = np.concatenate([[0], np.flatnonzero(new) + 1]).astype(np.int64)
+            if line[-1] % size != size - 1:
+                held = b.slice(int(cut[-1]))
+                end, cut = int(cut[-1]), cut[:-1]
+            else:
+                end = b.num_rows
+            yield _frames(b, line, cut, end)
+        if held is not None and held.num_rows:
+            yield _frames(held, held.column(1).to_numpy(), np.zeros(1, np.int64), held.num_rows)
+
+    def _frames(b, line, cut, end):
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, end).astype(np.int32)), b.column(2).slice(0, end))
+        first = pa.array(cut)
+        return pa.RecordBatch.from_arrays([b.column(0).take(first), pa.array(line[cut] // size), pa.array((line[cut] % size).astype(np.int32)), lists], ["file", "record", "at", "lines"])
 
     parts = rows.mapInArrow(frame, "file string, record long, at int, lines array<string>")
     whole = parts.where(F.size("lines") == size).select("file", "record", "lines")
@@ -101,12 +112,6 @@ def framed(numbered_lines: DataFrame, size: int) -> DataFrame:
     return whole.unionByName(torn.select("file", "record", F.flatten("p.lines").alias("lines")))
 
 
-def _frames(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-    columns = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["file", "record", "at", "lines"])
-
-
 def global_ordinal(records: DataFrame, count_key: str = "record") -> DataFrame:
     """``records`` with ``ordinal`` over all files in path order; needs file and record."""
     sizes = records.groupBy("file").agg(F.max(count_key).alias("m"))
