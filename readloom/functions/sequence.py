@@ -32,6 +32,11 @@ def complement(seq) -> Column:
     return F.translate(col(seq), "ACGTacgt", "TGCATGCA")
 
 
+def head_adapter(seq, at_head: bool = True) -> Column:
+    """Reads whose adapter is at the head are complemented before the search, others stay."""
+    return complement(seq) if at_head else col(seq)
+
+
 def iupac_revcomp(seq) -> Column:
     return F.reverse(F.translate(col(seq), IUPAC, IUPAC_COMPLEMENT))
 

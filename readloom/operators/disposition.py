@@ -91,3 +91,8 @@ def barcode(reads: DataFrame, barcodes: list[tuple[str, str]], seq: str = "seq")
     for name, text in barcodes:
         c = c.when(F.col(seq).startswith(text), name)
     return reads.withColumn("barcode", c.otherwise("unassigned"))
+
+
+def collapse(reads: DataFrame, *keys: str) -> DataFrame:
+    """(seq, [keys...], n): identical sequences counted, combined before the shuffle."""
+    return reads.groupBy("seq", *keys).agg(F.count("*").alias("n"))

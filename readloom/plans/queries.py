@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -12,24 +9,8 @@ from ..operators import adapter, disposition, evaluate, intervals, kmers, overla
 from ..sources import alignments
 from ..sources import reads as io
 from . import modes
-from .views import ADAPTER1, ADAPTER2, oracle, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(views: str, sql: str | None = None):
-    """Register a function of DataFrames, one for each named view; ``sql`` runs over the same views."""
-    names = views.split()
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
-        if sql is not None:
-            SQL[f.__name__] = oracle(names[0], sql, *names[1:])
-        return f
-
-    return add
-
+from .registry import query
+from .views import ADAPTER1, ADAPTER2
 
 big = lambda c: F.col(c).cast("long").alias(c)
 
@@ -42,10 +23,10 @@ def revcomp_reads(reads):
     return reads.select("read_id", S.revcomp("seq").alias("rc"))
 
 
-@query("contigs", """SELECT chrom, reverse(translate(concat(substring(seq, 1, 40), 'MRWSYKVHDBN'),
+@query("contigs", """SELECT chrom, reverse(translate(concat(seq, 'MRWSYKVHDBN'),
   'ACGTUMRWSYKVHDBNacgtumrwsykvhdbn', 'TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn')) AS rc FROM contigs""")
 def iupac_revcomp(contigs):
-    return contigs.select("chrom", S.iupac_revcomp(F.concat(F.substring("seq", 1, 40), F.lit("MRWSYKVHDBN"))).alias("rc"))
+    return contigs.select("chrom", S.iupac_revcomp(F.concat("seq", F.lit("MRWSYKVHDBN"))).alias("rc"))
 
 
 @query("reads", """SELECT read_id, round(CASE WHEN length(replace(seq, 'N', '')) > 0
@@ -75,10 +56,10 @@ def blurry_filter(reads):
 
 
 @query("reads", """SELECT read_id, greatest(length(regexp_replace(h, '[^A]', '', 'g')), length(regexp_replace(h, '[^C]', '', 'g')),
-  length(regexp_replace(h, '[^G]', '', 'g')), length(regexp_replace(h, '[^T]', '', 'g'))) >= 12 AS low
-  FROM (SELECT read_id, substring(seq, 31, 30) AS h FROM reads)""")
+  length(regexp_replace(h, '[^G]', '', 'g')), length(regexp_replace(h, '[^T]', '', 'g'))) >= 40 AS low
+  FROM (SELECT read_id, seq AS h FROM reads)""")
 def low_complexity(reads):
-    return reads.select("read_id", S.low_complexity(F.substring("seq", 31, 30), 30, 0.4).alias("low"))
+    return reads.select("read_id", S.low_complexity("seq", 100, 0.4).alias("low"))
 
 
 @query("reads", "SELECT read_id, concat(substring(seq, 1, insert_len), lower(substring(seq, insert_len + 1))) AS seq FROM reads WHERE insert_len < 100")
@@ -92,9 +73,9 @@ def n_filled_output(reads):
     return reads.where("insert_len < 100").select("read_id", S.n_filled("seq", "insert_len").alias("seq"), S.quality_filled("qual", "insert_len").alias("qual"))
 
 
-@query("pairs", "SELECT pair_id, CAST(hamming(substring(r1, 1, 40), reverse(translate(substring(r2, 1, 40), 'ACGT', 'TGCA'))) AS BIGINT) AS d FROM pairs")
+@query("pairs", "SELECT pair_id, CAST(hamming(r1, reverse(translate(r2, 'ACGT', 'TGCA'))) AS BIGINT) AS d FROM pairs")
 def hamming_distance(pairs):
-    return pairs.select("pair_id", S.hamming(F.substring("r1", 1, 40), S.revcomp(F.substring("r2", 1, 40))).cast("long").alias("d"))
+    return pairs.select("pair_id", S.hamming("r1", S.revcomp("r2")).cast("long").alias("d"))
 
 
 @query("reads", """SELECT read_id, round(sum(CASE WHEN q <= 0 THEN 0.477 WHEN q > 39 THEN 4.477 ELSE 0.477 + q / 10.0 END), 6) AS cost,
@@ -194,9 +175,10 @@ def barcode_demux_counts(reads):
     return disposition.barcode(reads, [("b1", "AC"), ("b2", "GT"), ("b3", "CA")]).groupBy("barcode").agg(F.count("*").alias("n"))
 
 
-@query("reads", "SELECT substring(seq, 1, 4) AS seq, count(*) AS n FROM reads GROUP BY 1")
-def collapse_reads(reads):
-    return reads.select(F.substring("seq", 1, 4).alias("seq")).groupBy("seq").agg(F.count("*").alias("n"))
+@query("reads pairs", "SELECT seq, count(*) AS n FROM (SELECT seq FROM reads UNION ALL SELECT seq FROM reads UNION ALL SELECT r1 FROM pairs) GROUP BY 1")
+def collapse_reads(reads, pairs):
+    """Whole sequences; the reads are there twice, so that most have copies."""
+    return disposition.collapse(reads.select("seq").unionByName(reads.select("seq")).unionByName(pairs.select(F.col("r1").alias("seq"))))
 
 
 @query("reads", """SELECT s AS seed_len, round(p, 6) AS percent FROM (SELECT s, 100.0 * count(*) FILTER (insert_len <= s * 4) / count(*) AS p
@@ -212,12 +194,11 @@ def smallrna_best_seed(reads):
 
 _KMERS = "SELECT frag_id, i, substring(tail, CAST(i AS INT), 10) AS kmer FROM (SELECT frag_id, tail, unnest(range(1, length(tail) - 8)) AS i FROM tails WHERE length(tail) >= 10)"
 _EDGES = """SELECT substring(tail, CAST(i AS INT), 10) AS src, substring(tail, CAST(i AS INT) + 1, 10) AS dst, count(*) AS cnt
-  FROM (SELECT tail, unnest(range(1, length(tail) - 9)) AS i FROM (SELECT substring(tail, 1, 30) AS tail FROM tails) WHERE length(tail) > 10) GROUP BY 1, 2"""
+  FROM (SELECT tail, unnest(range(1, length(tail) - 9)) AS i FROM tails WHERE length(tail) > 10) GROUP BY 1, 2"""
 
 
 def _graph(tails):
-    return kmers.pruned(kmers.edges(tails.select(F.substring("tail", 1, 30).alias("tail")), 10), 40)
-
+    return kmers.pruned(kmers.edges(tails, 10), 12)
 
 
 @query("tails", f"SELECT kmer, count(*) AS cnt FROM ({_KMERS}) GROUP BY kmer")
@@ -230,17 +211,17 @@ def dup_kmers(tails):
     return kmers.dup_kmers(tails, 10)
 
 
-@query("tails", f"SELECT * FROM ({_EDGES}) WHERE cnt >= 40")
+@query("tails", f"SELECT * FROM ({_EDGES}) WHERE cnt >= 12")
 def edge_support_pruned(tails):
     return _graph(tails)
 
 
-@query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 40) SELECT DISTINCT src AS kmer FROM e WHERE src NOT IN (SELECT dst FROM e)")
+@query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 12) SELECT DISTINCT src AS kmer FROM e WHERE src NOT IN (SELECT dst FROM e)")
 def graph_sources(tails):
     return kmers.sources(_graph(tails))
 
 
-@query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 40) SELECT DISTINCT dst AS kmer FROM e WHERE dst NOT IN (SELECT src FROM e)")
+@query("tails", f"WITH e AS (SELECT * FROM ({_EDGES}) WHERE cnt >= 12) SELECT DISTINCT dst AS kmer FROM e WHERE dst NOT IN (SELECT src FROM e)")
 def graph_sinks(tails):
     return kmers.sinks(_graph(tails))
 
@@ -278,13 +259,17 @@ def mate_overlap_insert_len(pairs):
     return pairs.select("pair_id", overlap.insert_len("r1", "r2").alias("pos"))
 
 
-@query("pairs", f"""WITH x AS (SELECT p.pair_id, i FROM pairs p, (SELECT CAST(unnest(range(16, 100)) AS INT) AS i)
+@query("pairs", f"""WITH w AS (SELECT p.pair_id, r1, r2, i FROM pairs p, (SELECT CAST(unnest(range(16, 101)) AS INT) AS i)
   WHERE (16 - hamming(substring(r1, i - 15, 16), reverse(translate(substring(r2, 1, 16), 'ACGT', 'TGCA')))) * 10 >= 16 * 7
-    AND (16 - hamming(substring(r2, i - 15, 16), reverse(translate(substring(r1, 1, 16), 'ACGT', 'TGCA')))) * 10 >= 16 * 7
+    AND (16 - hamming(substring(r2, i - 15, 16), reverse(translate(substring(r1, 1, 16), 'ACGT', 'TGCA')))) * 10 >= 16 * 7),
+x AS (SELECT pair_id, i FROM w WHERE i < 100
     AND (i - hamming(substring(r1, 1, i), reverse(translate(substring(r2, 1, i), 'ACGT', 'TGCA')))) * 10 >= i * 9
-    AND ((least(34, 100 - i) - hamming(substring(r1, i + 1, least(34, 100 - i)), substring('{ADAPTER1}', 1, least(34, 100 - i)))) * 10 >= least(34, 100 - i) * 8
-      OR (least(34, 100 - i) - hamming(substring(r2, i + 1, least(34, 100 - i)), substring('{ADAPTER2}', 1, least(34, 100 - i)))) * 10 >= least(34, 100 - i) * 8)),
-b AS (SELECT pair_id, r1, r2, coalesce(m, 100) AS pos FROM pairs LEFT JOIN (SELECT pair_id, max(i) AS m FROM x GROUP BY pair_id) USING (pair_id))
+    AND CASE WHEN i < 100 THEN (least(34, 100 - i) - hamming(substring(r1, i + 1, least(34, 100 - i)), substring('{ADAPTER1}', 1, least(34, 100 - i)))) * 10 >= least(34, 100 - i) * 8
+      OR (least(34, 100 - i) - hamming(substring(r2, i + 1, least(34, 100 - i)), substring('{ADAPTER2}', 1, least(34, 100 - i)))) * 10 >= least(34, 100 - i) * 8 END),
+h AS (SELECT pair_id, coalesce(min(o) FILTER ((16 - hamming(substring(r1, o + 1, 16), substring('{ADAPTER1}', 1, 16))) * 10 > 16 * 8),
+        min(o) FILTER ((16 - hamming(substring(r2, o + 1, 16), substring('{ADAPTER2}', 1, 16))) * 10 > 16 * 8)) AS o
+      FROM (SELECT * FROM pairs WHERE pair_id NOT IN (SELECT pair_id FROM w)), (SELECT CAST(unnest(range(0, 16)) AS INT) AS o) GROUP BY pair_id),
+b AS (SELECT pair_id, r1, r2, coalesce(m, o, 100) AS pos FROM pairs LEFT JOIN (SELECT pair_id, max(i) AS m FROM x GROUP BY pair_id) USING (pair_id) LEFT JOIN h USING (pair_id))
 SELECT pair_id, substring(r1, 1, pos) AS r1, substring(r2, 1, pos) AS r2 FROM b WHERE pos >= 45""")
 def pe_trim(pairs):
     return overlap.trim_pairs(pairs, (ADAPTER1, ADAPTER2), 45).select("pair_id", "r1", "r2")
@@ -381,24 +366,23 @@ def multi_source_overlap(queries, features):
 
 
 @query("reads", f"""WITH h AS (SELECT read_id, i, hamming(substring(seq, i + 1, least(34, 100 - i)), substring('{ADAPTER1}', 1, least(34, 100 - i))) AS d,
-  least(34, 100 - i) AS m FROM (SELECT * FROM reads WHERE read_id % 7 <> 0 AND read_id % 11 <> 0), (SELECT CAST(unnest(range(0, 98)) AS INT) AS i)),
+  least(34, 100 - i) AS m FROM reads, (SELECT CAST(unnest(range(0, 98)) AS INT) AS i)),
 c AS (SELECT read_id, i, m, (m * 2.477 - d * 2.477) / (m + 1) AS s, d FROM h WHERE d * 2.477 < 0.1 * 2.477 * m + 0.001),
 f AS (SELECT read_id, min(d) AS best FROM c WHERE m = 34 GROUP BY read_id),
 p AS (SELECT c.* FROM c LEFT JOIN f USING (read_id) WHERE m < 34 OR d = best)
-SELECT read_id, CAST(coalesce(arg_max(i, s * 1e6 + m * 1e-3 + i * 1e-6), 100) AS INT) AS pos FROM (SELECT read_id FROM reads WHERE read_id % 7 <> 0 AND read_id % 11 <> 0) r
+SELECT read_id, CAST(coalesce(arg_max(i, s * 1e6 + m * 1e-3 + i * 1e-6), 100) AS INT) AS pos FROM (SELECT read_id FROM reads) r
 LEFT JOIN p USING (read_id) GROUP BY read_id""")
 def best_adapter_hamming(reads):
-    rows = reads.where("read_id % 7 <> 0 AND read_id % 11 <> 0")
-    return rows.select("read_id", adapter.adapter_pos("seq", None, [ADAPTER1], delta=0.0).alias("a")).select("read_id", "a.pos")
+    return reads.select("read_id", adapter.adapter_pos("seq", None, [ADAPTER1], delta=0.0).alias("a")).select("read_id", "a.pos")
 
 
-@query("contigs reads", """WITH p AS (SELECT chrom, seq, CAST(unnest(range(0, 109)) AS INT) AS pos FROM contigs),
+@query("contigs", """WITH p AS (SELECT chrom, seq, CAST(unnest(range(0, 109)) AS INT) AS pos FROM contigs),
 t AS (SELECT substring(seq, pos + 1, 20) AS kmer, chrom, pos, substring(seq, pos + 1, 256) AS ahead FROM p),
 q AS (SELECT read_id, seq FROM (SELECT c.chrom, CAST(row_number() OVER (ORDER BY c.chrom) AS BIGINT) AS read_id, concat(substring(c.seq, 11, 60), substring(c.seq, 1, 30)) AS seq FROM contigs c)),
 h AS (SELECT q.read_id, q.seq, t.ahead FROM q JOIN t ON substring(q.seq, 1, 20) = t.kmer),
 m AS (SELECT read_id, seq, max((SELECT coalesce(min(i) FILTER (substring(seq, i, 1) <> substring(ahead, i, 1)) - 1, least(length(seq), length(ahead))) FROM (SELECT CAST(unnest(range(1, 91)) AS INT) AS i))) AS n FROM h GROUP BY 1, 2)
 SELECT read_id, CAST(n AS INT) AS prefix_len, substring(seq, CAST(n AS INT) + 1) AS tail FROM m""")
-def longest_prefix_tail(contigs, reads):
+def longest_prefix_tail(contigs):
     from ..sources.framing import with_ordinal
 
     made = contigs.select("chrom", F.concat(F.substring("seq", 11, 60), F.substring("seq", 1, 30)).alias("seq"))
@@ -463,10 +447,12 @@ def quality_transitions(reads):
 
 
 @query("reads", f"""WITH m AS (SELECT prev_q, q, sum(n) AS n FROM ({_MOVES}) GROUP BY 1, 2)
-SELECT prev_q, CAST(sum(n) AS BIGINT) AS n, round(sum(n * q) / sum(n), 6) AS mean, min(q) AS low, max(q) AS high, arg_max(q, n * 1000 - q) AS mode FROM m GROUP BY prev_q""")
+SELECT prev_q, CAST(sum(n) AS BIGINT) AS n, round(sum(n * q) / sum(n), 6) AS mean,
+  round(sqrt(greatest(sum(n * q * q)::DOUBLE / sum(n) - (sum(n * q)::DOUBLE / sum(n)) * (sum(n * q)::DOUBLE / sum(n)), 0.0)), 4) AS sd,
+  min(q) AS low, max(q) AS high, arg_max(q, n * 1000 - q) AS mode FROM m GROUP BY prev_q""")
 def transition_moments(reads):
     rows = profile.transition_moments(profile.transitions(reads))
-    return rows.select("prev_q", "n", F.round("mean", 6).alias("mean"), "low", "high", "mode")
+    return rows.select("prev_q", "n", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"), "low", "high", "mode")
 
 
 _CALLS = """SELECT substring(a, i, 1) AS ref, i AS cycle, substring(r1, i, 1) AS call, ascii(substring(q1, i, 1)) - 33 AS q, count(*) AS n
@@ -511,18 +497,21 @@ def insert_size_moments(pairs):
     return m.select("total", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-@query("pairs", "SELECT round(avg(insert_len), 6) AS mean, round(stddev_samp(insert_len), 6) AS sd FROM (SELECT insert_len FROM pairs ORDER BY pair_id LIMIT 1000)")
+@query("pairs", "SELECT round(avg(insert_len), 6) AS mean, round(stddev_samp(insert_len), 6) AS sd FROM (SELECT insert_len FROM pairs ORDER BY pair_id LIMIT 10000)")
 def insert_distribution(pairs):
-    """The first 1,000 rows are what this report is defined on."""
-    m = profile.insert_distribution(pairs.select("pair_id", F.col("insert_len").alias("size")), 1000, "pair_id")
+    """The first 10,000 rows are what this report is defined on."""
+    m = profile.insert_distribution(pairs.select("pair_id", F.col("insert_len").alias("size")), 10_000, "pair_id")
     return m.select(F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 @query("contigs", """WITH t AS (SELECT chrom, i AS tile, substring(seq, i * 40 + 1, 40) AS s FROM (SELECT chrom, seq, CAST(unnest(range(0, 4)) AS INT) AS i FROM contigs) WHERE length(substring(seq, i * 40 + 1, 40)) > 30),
-g AS (SELECT floor(100.0 * length(regexp_replace(s, '[^GC]', '', 'g')) / length(s)) + 0.5 AS gc, CAST(tile * 3 + length(chrom) AS DOUBLE) AS d FROM t)
-SELECT CAST(gc AS DOUBLE) AS gc, count(*) AS n, round(avg(d), 6) AS mean, quantile_cont(d, 0.25) AS q1, quantile_cont(d, 0.5) AS q2, quantile_cont(d, 0.75) AS q3,
-  greatest(min(d), quantile_cont(d, 0.25) - 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25))) AS whisker_low,
-  least(max(d), quantile_cont(d, 0.75) + 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25))) AS whisker_high, min(d) AS low, max(d) AS high FROM g GROUP BY gc""")
+g AS (SELECT floor(100.0 * length(regexp_replace(s, '[^GC]', '', 'g')) / length(s)) + 0.5 AS gc, CAST(tile * 3 + length(chrom) AS DOUBLE) AS d FROM t),
+l AS (SELECT gc, list_sort(array_agg(d)) AS l, count(*) AS n, avg(d) AS mean FROM g GROUP BY gc),
+q AS (SELECT *, CASE WHEN n < 4 - n % 2 THEN 0 WHEN n % 2 = 1 THEN l[(n + 1) // 4] ELSE l[(n + 1) // 4] + (l[(n + 1) // 4 + 1] - l[(n + 1) // 4]) * ((n + 1) / 4.0 - (n + 1) // 4) END AS q1,
+  CASE WHEN n < 4 - n % 2 THEN 0 WHEN n % 2 = 1 THEN l[(n + 1) // 2] ELSE (l[n // 2] + l[n // 2 + 1]) / 2 END AS q2, CASE WHEN n < 4 - n % 2 THEN 0 ELSE l[(n + 1) // 4 * 3] END AS q3 FROM l)
+SELECT CAST(gc AS DOUBLE) AS gc, n, round(mean, 6) AS mean, CAST(q1 AS DOUBLE) AS q1, CAST(q2 AS DOUBLE) AS q2, CAST(q3 AS DOUBLE) AS q3,
+  coalesce(list_min(list_filter(l, lambda x: x > q1 - 1.5 * (q3 - q1))), l[n]) AS whisker_low,
+  coalesce(list_max(list_filter(l, lambda x: x <= q3 + 1.5 * (q3 - q1))), l[1]) AS whisker_high, l[1] AS low, l[n] AS high FROM q""")
 def gc_depth(contigs):
     w = profile.tiles(contigs, 40).withColumn("depth", F.col("tile") * 3 + F.length("chrom"))
     return profile.gc_depth(w).withColumn("mean", F.round("mean", 6)).withColumn("gc", F.col("gc").cast("double"))
@@ -555,9 +544,9 @@ def segments(reads):
     return ranges.segment(reads.select("read_id"), 7, "read_id").groupBy("segment").agg(F.count("*").alias("n"), F.min("read_id").alias("first"))
 
 
-@query("reads", "SELECT substring(seq, 1, 3) AS k, arg_min(name, read_id) AS name FROM reads GROUP BY 1")
+@query("reads", "SELECT insert_len AS k, arg_min(name, read_id) AS name FROM reads GROUP BY 1")
 def first_value_map(reads):
-    return ranges.to_map(reads.withColumn("k", F.substring("seq", 1, 3)), "k", "name", "read_id")
+    return ranges.to_map(reads.withColumnRenamed("insert_len", "k"), "k", "name", "read_id")
 
 
 @query("reads", "SELECT read_id, CAST(p AS INT) - 1 AS part_no, string_split(name, '_')[p] AS part FROM (SELECT read_id, name, unnest(range(1, 3)) AS p FROM reads)")

@@ -51,7 +51,9 @@ FROM (SELECT pair_id, k, insert_len,
             FROM (SELECT o_orderkey AS pair_id, CAST(o_orderkey AS STRING) AS k, CAST(40 + o_orderkey % 80 AS INT) AS insert_len FROM orders) x) y) z
 """
 
-_TAILS = f"SELECT pair_id AS frag_id, substring(r1, insert_len + 1, 100) AS tail FROM ({_PAIRS}) p WHERE insert_len < 100"
+_TAILS = f"""
+SELECT frag_id, CASE WHEN frag_id % 4 = 1 THEN concat(substring(t, 1, CAST(frag_id % 31 AS INT)), translate(substring(t, CAST(frag_id % 31 AS INT) + 1, 1), 'ACGT', 'CGTA'), substring(t, CAST(frag_id % 31 AS INT) + 2, 100)) ELSE t END AS tail
+FROM (SELECT pair_id AS frag_id, substring(r1, insert_len + 1, 100) AS t FROM ({_PAIRS}) p WHERE insert_len < 100) v"""
 
 _CONTIGS = f"SELECT concat('chr', k) AS chrom, {_bases('k')} AS seq FROM (SELECT CAST(p_partkey AS STRING) AS k FROM part) x"
 

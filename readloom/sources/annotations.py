@@ -64,10 +64,14 @@ def read_bedgraph(spark: SparkSession, path) -> DataFrame:
     return rows.select(*_pick("chrom string, start int, end int, score float"))
 
 
+_LINES = 4096
+
+
 def read_wig(spark: SparkSession, path) -> DataFrame:
     """(chrom, pos, span, value) of fixedStep and variableStep sections; positions as in the file (1-based).
 
-    The first line must declare a wiggle track. Section lines are a small table joined on line ranges.
+    The first line must declare a wiggle track. A section is known in each run of ``_LINES`` lines that it reaches into,
+    so lines meet their section by an equi-join on the run.
     """
     rows = numbered(spark, path).withColumn("value", F.trim(F.regexp_replace("value", "\r$", "")))
     bad = rows.where("line = 0").where(~F.col("value").rlike("^track +type=wiggle_0")).limit(1).count()
@@ -79,8 +83,11 @@ def read_wig(spark: SparkSession, path) -> DataFrame:
         "file", F.col("line").alias("head"), F.col("value").startswith("fixed").alias("fixed"), pick("chrom", "").alias("chrom"),
         pick("start", "1").cast("long").alias("start"), pick("step", "1").cast("long").alias("step"), pick("span", "1").cast("int").alias("span"),
     )
-    sections = sections.withColumn("next", F.lead("head").over(Window.partitionBy("file").orderBy("head")))
-    body = rows.where(~step & ~F.col("value").rlike("^(track|browser|#)")).join(sections, "file").where("line > head AND (next IS NULL OR line < next)")
+    last = rows.groupBy("file").agg((F.max("line") + 1).alias("last"))
+    sections = sections.withColumn("next", F.lead("head").over(Window.partitionBy("file").orderBy("head"))).join(last, "file").withColumn("next", F.coalesce("next", "last")).drop("last")
+    runs = F.sequence(F.floor(F.col("head") / _LINES), F.floor((F.col("next") - 1) / _LINES))
+    body = rows.where(~step & ~F.col("value").rlike("^(track|browser|#)")).withColumn("run", F.floor(F.col("line") / _LINES))
+    body = body.join(sections.withColumn("run", F.explode(runs)), ["file", "run"]).where("line > head AND line < next")
     place = F.when(F.col("fixed"), F.col("start") + (F.col("line") - F.col("head") - 1) * F.col("step")).otherwise(F.split("value", r"\s+")[0].cast("long"))
     return body.select("chrom", place.alias("pos"), "span", F.element_at(F.split("value", r"\s+"), -1).cast("double").alias("value"))
 

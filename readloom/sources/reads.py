@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..operators.chunks import chunks
 from .framing import framed, global_ordinal, numbered
 
 
@@ -73,9 +74,7 @@ def read_contigs(spark: SparkSession, path) -> DataFrame:
 
 def chunked(contigs: DataFrame, size: int = 1 << 16) -> DataFrame:
     """(chrom, chunk_no, chunk_start, seq) for long sequences."""
-    at = F.sequence(F.lit(0), F.greatest(F.ceil(F.length("seq") / size).cast("int") - 1, F.lit(0)))
-    rows = contigs.select("chrom", "seq", F.explode(at).alias("chunk_no"))
-    return rows.select("chrom", "chunk_no", (F.col("chunk_no") * size).alias("chunk_start"), F.substring("seq", F.col("chunk_no") * size + 1, F.lit(size)).alias("seq"))
+    return chunks(contigs, size, spread=False).select("chrom", F.col("chunk").cast("int").alias("chunk_no"), F.col("first").alias("chunk_start"), F.col("text").alias("seq"))
 
 
 def read_adapters(spark: SparkSession, path, most: int = 96, longest: int = 64) -> list[tuple[int, str, str]]:
@@ -89,8 +88,8 @@ def read_adapters(spark: SparkSession, path, most: int = 96, longest: int = 64)
 def read_pair_matrix(spark: SparkSession, path) -> DataFrame:
     """(row_name, col_name, valid) of a tab-separated 0/1 matrix with column names in its first line."""
     rows = numbered(spark, path).where(~F.col("value").startswith("%%")).select("line", F.split(_clean(F.col("value")), "\t").alias("c"))
-    head = rows.where("line = 0").select(F.col("c").alias("names"))
-    body = rows.where("line > 0").crossJoin(F.broadcast(head))  # one header row
+    head = rows.orderBy("line").limit(1).select(F.col("line").alias("head"), F.col("c").alias("names"))
+    body = rows.crossJoin(F.broadcast(head)).where("line > head")  # one header row
     cells = body.select(F.col("c")[0].alias("row_name"), F.explode(F.arrays_zip(F.expr("slice(names, 2, size(names))").alias("col_name"), F.expr("slice(c, 2, size(c))").alias("v"))).alias("x"))
     return cells.select("row_name", F.col("x.col_name").alias("col_name"), (F.col("x.v") == "1").alias("valid"))
 
@@ -120,15 +119,28 @@ def pair_up(first: DataFrame, second: DataFrame, check: bool = True) -> DataFram
     return one.join(two, "ordinal")
 
 
-def quality_encoding(reads: DataFrame) -> str:
-    """``sanger`` (a character below 59), ``solexa`` (above 74), ``fasta`` (no qualities) or ``unknown``."""
-    codes = F.transform(F.split(F.col("qual"), ""), F.ascii)
-    low, high = reads.agg(F.min(F.array_min(codes)), F.max(F.array_max(codes))).first()
-    if low is None:
-        return "fasta"
-    if low < 59 and high > 104:
-        raise ValueError("qualities of two encodings")
-    return "sanger" if low < 59 else "solexa" if high > 74 else "unknown"
+def quality_encoding(*files: DataFrame) -> str:
+    """``sanger`` (the first decisive character is below 59), ``solexa`` (above 74), ``fasta`` (no qualities) or
+    ``unknown``; files that differ are an error."""
+    told = set()
+    for reads in files:
+        mark = F.regexp_extract("qual", "[^;-J]", 0)
+        first = reads.agg(F.min_by(F.when(F.col("qual").isNull(), "").otherwise(mark), F.when(F.col("qual").isNull() | (mark != ""), F.col("ordinal"))).alias("c")).first()["c"]
+        told.add("unknown" if first is None else "fasta" if first == "" else "sanger" if first < ";" else "solexa")
+    told = told - {"unknown"} or {"unknown"}
+    if len(told) > 1:
+        raise ValueError("files of several quality encodings")
+    return told.pop()
+
+
+def concatenated(*tables: DataFrame) -> DataFrame:
+    """Records of several inputs one after another, ordinals going on."""
+    out, n = None, 0
+    for t in tables:
+        part = t.withColumn("ordinal", (F.col("ordinal") + n).cast("long"))
+        out = part if out is None else out.unionByName(part)
+        n += t.count()
+    return out
 
 
 def longest_read(reads: DataFrame, first: int = 100) -> int:

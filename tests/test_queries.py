@@ -1,6 +1,6 @@
 import pytest
 
-from readloom.plans.queries import QUERIES, SQL
+from readloom.plans.catalog import QUERIES, SQL
 
 from .oracle import DATA, rows, run_sql
 
