@@ -21,7 +21,7 @@ def _bins(width: int, begin: str = "begin", stop: str = "stop") -> Column:
 def overlap_join(queries: DataFrame, db: DataFrame, how: str = "inner", width: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals: columns of ``queries``, and those of ``db`` prefixed ``db_``.
 
-    ``how="left"`` keeps queries without a hit once, with null ``db_`` columns; it needs a query id.
+    ``how="left"`` keeps queries without a hit once, with null ``db_`` columns; it needs a unique query id.
     """
     q = queries.where("begin <= stop")
     d = db.where("begin <= stop").select(*[F.col(c).alias(f"db_{c}") for c in db.columns])
@@ -34,8 +34,7 @@ def overlap_join(queries: DataFrame, db: DataFrame, how: str = "inner", width: i
         return pairs
     if how != "left":
         raise ValueError(f"how: {how}")
-    bare = queries.join(pairs.select("id").distinct(), "id", "left_anti")
-    return pairs.unionByName(bare, allowMissingColumns=True)
+    return queries.join(pairs.select("id", *[c for c in d.columns if c != "bin__"]), "id", "left").select(*queries.columns, *[c for c in d.columns if c != "bin__"])
 
 
 def overlap_lists(queries: DataFrame, db: DataFrame, column: str = "id", width: int = BIN) -> DataFrame:
@@ -64,13 +63,12 @@ def coverage(queries: DataFrame, db: DataFrame, width: int = BIN) -> DataFrame:
         F.struct(F.greatest("begin", "db_begin").alias("pos"), F.lit(1).alias("step")),
         F.struct(F.least("stop", "db_stop").alias("pos"), F.lit(-1).alias("step")),
     )
-    events = hits.select("id", F.explode(points).alias("e")).select("id", "e.pos", "e.step")
-    edge = queries.select("id", F.explode(F.array("begin", "stop")).alias("pos")).withColumn("step", F.lit(0))
-    steps = events.unionByName(edge).groupBy("id", "pos").agg(F.sum("step").alias("step"))
-    w = Window.partitionBy("id").orderBy("pos")
-    runs = steps.select("id", F.col("pos").alias("run_begin"), F.lead("pos").over(w).alias("run_stop"), F.sum("step").over(w).alias("depth"))
-    runs = runs.where("run_stop > run_begin").join(queries.select("id", "chrom"), "id")
-    return runs.select("id", "chrom", F.col("run_begin").alias("begin"), F.col("run_stop").alias("stop"), "depth")
+    events = hits.select("id", "chrom", F.explode(points).alias("e")).select("id", "chrom", "e.pos", "e.step")
+    edge = queries.select("id", "chrom", F.explode(F.array("begin", "stop")).alias("pos")).withColumn("step", F.lit(0))
+    steps = events.unionByName(edge).groupBy("id", "chrom", "pos").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy("id", "chrom").orderBy("pos")
+    runs = steps.select("id", "chrom", F.col("pos").alias("begin"), F.lead("pos").over(w).alias("stop"), F.sum("step").over(w).alias("depth"))
+    return runs.where("stop > begin")
 
 
 def annotate(queries: DataFrame, db: DataFrame, width: int = BIN) -> DataFrame:

@@ -72,8 +72,21 @@ SQL = {"reads": _READS, "pairs": _PAIRS, "tails": _TAILS, "contigs": _CONTIGS, "
 _FROM = {"reads": ["lineitem"], "pairs": ["orders"], "tails": ["orders"], "contigs": ["part"], "queries": ["orders"], "features": ["lineitem"]}
 
 
+_made: dict[tuple[str, str], str] = {}
+
+
+def materialise(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Write all views to ``folder``; queries of this process then read them instead of deriving them anew."""
+    for name in SQL:
+        path = f"{folder}/{name}"
+        view(spark, sf_dir, name).write.mode("overwrite").parquet(path)
+        _made[sf_dir, name] = path
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view as a DataFrame over the Parquet tables, without temporary names in the catalog."""
+    if (sf_dir, name) in _made:
+        return spark.read.parquet(_made[sf_dir, name])
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _FROM[name]}
     text = SQL[name]
     for t in tables:

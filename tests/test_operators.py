@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import register
 from readloom.functions import sequence as S
-from readloom.operators import adapter, disposition, evaluate, intervals, kmers, overlap, profile, ranges, seeds, simulate
+from readloom.operators import adapter, chunks, disposition, evaluate, intervals, kmers, overlap, profile, ranges, seeds, simulate
 from readloom.plans import modes
 from readloom.plans.views import ADAPTER1, ADAPTER2
 from readloom.sources import reads as io
@@ -444,3 +444,40 @@ def test_command_line(spark, tmp_path, write):
     main(["build", "-r", genome, "-p", str(tmp_path / "idx"), "-d", "20"], spark)
     main(["single", "-1", path, "-p", str(tmp_path / "idx"), "-d", "20", "-o", str(tmp_path / "s"), "-u"], spark)
     assert io.read_fastq(spark, str(tmp_path / "s")).where("length(seq) = 40").count() == 30
+
+
+def test_chunks_and_index_of_a_long_contig(spark):
+    r = random.Random(21)
+    text = "".join(r.choice("ACGT") for _ in range(300_000))
+    text = text[:5000] + "NNN" + text[5003:]
+    contigs = spark.createDataFrame([("c", text), ("d", text[:1500]), ("e", "")], "chrom string, seq string")
+    rows = {(x["chrom"], x["chunk"]): (x["first"], x["text"]) for x in chunks.chunks(contigs, 1024, 256, 100).collect()}
+    assert len(rows) == 293 + 2 + 1 and rows["e", 0] == (0, "")
+    assert all(t == {"c": text, "d": text[:1500], "e": ""}[c][f : (k + 1) * 1024 + 100] and f == max(0, k * 1024 - 256) for (c, k), (f, t) in rows.items())
+    index = seeds.build_index(contigs, 20)
+    want = sum("N" not in text[i : i + 20] for i in range(300_000 - 19)) + 1500 - 19
+    assert index.kmers.count() == want
+    at = index.kmers.where("chrom = 'c' AND pos % 1024 IN (0, 1004, 1005, 1023)").collect()
+    assert at and all(x["kmer"] == text[x["pos"] : x["pos"] + 20] for x in at)
+    reads = spark.createDataFrame([(1, text[1000:1090] + "GGG"), (2, S_revcomp(text[2020:2100]))], "read_id long, seq string")
+    got = {(x["read_id"], x["chrom"], x["pos"], x["strand"], x["prefix_len"] >= 80) for x in seeds.seed_loci(reads, index, allow_mismatch=False).collect()}
+    assert got == {(1, "c", 1000, "+", True), (1, "d", 1000, "+", True), (2, "c", 2020, "-", True)}
+
+
+def S_revcomp(text):
+    return text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_mismatch_tags(spark):
+    from readloom.sources import alignments
+
+    r = random.Random(22)
+    c = "".join(r.choice("ACGT") for _ in range(400))
+    swap = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    one = c[100:130] + swap[c[130]] + c[131:160]
+    two = S_revcomp(c[200:260])
+    two = two[:40] + swap[two[40]] + two[41:]
+    reads = spark.createDataFrame([(1, "a", one, "I" * 60), (2, "b", two, "I" * 60)], "read_id long, name string, seq string, qual string")
+    rows = seeds.seed_loci(reads, seeds.build_index(spark.createDataFrame([("c", c)], "chrom string, seq string"), 18)).join(reads, "read_id")
+    got = {x["qname"]: (x["pos"], x["cigar"], {t["tag"]: t["value"] for t in x["tags"]}) for x in alignments.aligned_sam(rows).collect()}
+    assert got == {"a": (101, "60M", {"NH": "1", "MD": f"30{c[130]}29"}), "b": (201, "60M", {"NH": "1", "MD": f"19{c[219]}40"})}
