@@ -30,6 +30,9 @@ IUPAC_BASES = {
 
 _PENALTY = np.array([0.477 if q <= 0 else 4.477 if q > 39 else 0.477 + q / 10 for q in range(-33, 223)])
 MAX_SEQ = (1 << 14) - 1
+_COMP = np.arange(256, dtype=np.uint8)
+for _a, _b in ("AT", "CG", "GC", "TA"):
+    _COMP[ord(_a)] = ord(_b)
 
 
 def default_overlap(epsilon: float) -> int:
@@ -52,9 +55,12 @@ def _packed(cost: float) -> int:
     return round(cost * _UNIT) << _HIGH
 
 
-def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, epsilon: float, delta: float, min_overlap: int, head: bool, tail: bool = True, gap: float = GAP) -> tuple[np.ndarray, np.ndarray]:
+def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, epsilon: float, delta: float, min_overlap: int, head: bool, tail: bool = True, gap: float = GAP, every: bool = False) -> tuple[np.ndarray, ...]:
     """Start of the best alignment of ``adapter`` in each read, and its score (-inf: none).
 
+    With ``every`` (row, start, score) of all alignments at the error rate, one for each end in the read and each
+    length that runs off it, the score being ``2.477 * bases - cost``.
+
     ``cost`` has the mismatch costs in whole millionths. A cell holds cost and start in one number, so the better
     way into it is a minimum: of equal costs a match goes before a skipped base of the adapter, that before one
     of the read.
@@ -95,6 +101,14 @@ def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, e
             partial.append((j, (ends >> _HIGH) / _UNIT, ends & low_bits))
     full = np.minimum.reduce(c >> _HIGH)
     full[np.arange(width + 1)[None, :] > size[:, None]] = _BIG
+    if every:
+        row, end = np.nonzero(full < (rate * length + 0.001) * _UNIT)
+        first = c[:, row, end]
+        found = [(row, first[(first >> _HIGH).argmin(0), np.arange(len(row))] & low_bits, length * MU - full[row, end] / _UNIT)]
+        for j, low, start in partial:
+            row = np.flatnonzero((low < rate * j + 0.001) & (size > 0))
+            found.append((row, start[row], j * MU - low[row]))
+        return tuple(np.concatenate(x) for x in zip(*found))
     low = full.min(1)
     # of equally good places the last one
     end = width - np.argmax((full == low[:, None])[:, ::-1], 1)
@@ -110,6 +124,37 @@ def align(reads: np.ndarray, cost: np.ndarray, size: np.ndarray, adapter: str, e
     return at, best
 
 
+def _costs(seqs: list[str], quals: list[str] | None, width: int, base: int = 33) -> np.ndarray:
+    """Mismatch costs of reads in whole millionths, by quality where there is one."""
+    if quals is None:
+        return np.full((len(seqs), width), round(MU * _UNIT))
+    marks = _codes([t[: len(x)] for t, x in zip(quals, seqs)], width)
+    return np.where(marks > 0, np.rint(_PENALTY * _UNIT).astype(np.int64)[np.clip(marks.astype(int) - base + 33, 0, 255)], round(MU * _UNIT))
+
+
+def hits(seqs: list[str], quals: list[str] | None, adapters: list[str], epsilon: float = 0.1, delta: float = 0.03, min_overlap: int | None = None, base: int = 33, gap: float = GAP):
+    """(read, adapter, start, score) arrays of every alignment at the error rate, sorted; one for each place, the best."""
+    least = default_overlap(epsilon) if min_overlap is None else min_overlap
+    size = np.array([len(x) for x in seqs], np.int64)
+    width = int(size.max(initial=0))
+    if width > MAX_SEQ:
+        raise ValueError(f"reads of at most {MAX_SEQ} bases")
+    out = []
+    for a in range(0, len(seqs), 256):
+        part = slice(a, min(len(seqs), a + 256))
+        reads, cost = _codes(seqs[part], width), _costs(seqs[part], None if quals is None else quals[part], width, base)
+        for k, text in enumerate(adapters):
+            row, start, score = align(reads, cost, size[part], text, epsilon, delta, least, False, gap=gap, every=True)
+            out.append((row + a, np.full(len(row), k), np.minimum(start, size[part][row]), score))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    row, idx, start, score = (np.concatenate(x) for x in zip(*out))
+    order = np.lexsort((-score, idx, start, row))
+    row, idx, start, score = (x[order] for x in (row, idx, start, score))
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (idx[1:] != idx[:-1]) | (start[1:] != start[:-1])]) if len(row) else np.zeros(0, bool)
+    return row[new], idx[new], start[new], score[new]
+
+
 def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: str = "tail", epsilon: float = 0.1, delta: float = 0.03, min_overlap: int | None = None, base: int = 33, gap: float = GAP):
     """(pos, idx, score) arrays: bases left, adapter number (-1: none found) and score.
 
@@ -129,12 +174,7 @@ def scan(seqs: list[str], quals: list[str] | None, adapters: list[str], mode: st
         m = size[part]
         texts = [x[::-1] if flip else x for x in seqs[part]]
         reads = _codes(texts, width)
-        if quals is None:
-            cost = np.full(reads.shape, round(MU * _UNIT))
-        else:
-            q = [(t or "")[::-1] if flip else (t or "") for t in quals[part]]
-            marks = _codes([t[: len(x)] for t, x in zip(q, seqs[part])], width)
-            cost = np.where(marks > 0, np.rint(_PENALTY * _UNIT).astype(np.int64)[np.clip(marks.astype(int) - base + 33, 0, 255)], round(MU * _UNIT))
+        cost = _costs(texts, None if quals is None else [(t or "")[::-1] if flip else (t or "") for t in quals[part]], width, base)
         for k, text in enumerate(adapters):
             word = text[::-1] if flip else text
             # an exact whole adapter has the best score there is, so such reads need no alignment
@@ -191,27 +231,48 @@ def rc_score(r1: str, q1: str, r2: str, q2: str, size: int, base: int = 33) -> f
     return (size * MU - float(_PENALTY[worse - base + 33].sum())) / (size + 1)
 
 
-def pair_scan(r1, q1, r2, q2, adapters1, adapters2, allowed: set | None = None, epsilon: float = 0.1, tolerance: int = 1, **options) -> list[tuple[int, int, int]]:
-    """(pos, idx1, idx2) of each pair, joint: a hit in one mate must agree with the other mate.
+def _agreement(r1: np.ndarray, q1: np.ndarray, r2: np.ndarray, q2: np.ndarray, at: int, epsilon: float, base: int = 33) -> float | None:
+    """``2.477 * bases - cost`` of r1[:at] against the reverse complement of r2[:at]; null beyond the error rate.
 
-    Hits at (nearly) one place in both mates are taken if their adapter pair is allowed. A hit in one
-    mate alone is taken if the mates are reverse complements up to it, at the error rate. Without
-    either the pair stays whole.
+    Of mates of different lengths the bases that both have are compared. An empty insert always agrees.
+    """
+    if at <= 0:
+        return MU * min(len(q1), len(q2)) / 2
+    m = min(at, len(r1), len(r2))
+    first, second = slice(at - m if len(r2) < at else 0, min(at, len(r1))), slice(at - m if len(r1) < at else 0, min(at, len(r2)))
+    a, b = r1[first], _COMP[r2[second][::-1]]
+    wrong = np.flatnonzero(a != b)
+    cost = float(_PENALTY[np.minimum(q1[first][wrong], q2[second][::-1][wrong]).astype(int) - base + 33].sum())
+    return m * MU - cost if cost <= epsilon * MU * m else None
+
+
+def pair_scan(r1, q1, r2, q2, adapters1, adapters2, allowed: set | None = None, epsilon: float = 0.1, **options) -> list[tuple[int, int, int]]:
+    """(pos, idx1, idx2) of each pair, joint: of all places where an adapter may begin in either mate, the best.
+
+    A place counts if the mates are reverse complements up to it, at the error rate. Its score is that
+    agreement and the best adapter there in each mate that has one; adapters in both must be an allowed
+    pair. Of equal scores the first place wins. Without a place the pair stays whole.
     """
-    a, b = scan(r1, q1, adapters1, epsilon=epsilon, **options), scan(r2, q2, adapters2, epsilon=epsilon, **options)
+    found: dict[int, dict[int, tuple[list, list]]] = {}
+    for mate, (reads, quals, texts) in enumerate(((r1, q1, adapters1), (r2, q2, adapters2))):
+        for k, i, at, score in zip(*(x.tolist() for x in hits(reads, quals, texts, epsilon, **options))):
+            found.setdefault(k, {}).setdefault(at, ([], []))[mate].append((score, i))
+    code = lambda t: np.frombuffer(t.encode("latin-1", "replace"), np.uint8)
     out = []
     for k in range(len(r1)):
-        (p1, i1), (p2, i2) = (int(a[0][k]), int(a[1][k])), (int(b[0][k]), int(b[1][k]))
-        whole = min(len(r1[k]), len(r2[k]))
-        choice = (whole, -1, -1)
-        if i1 >= 0 and i2 >= 0 and abs(p1 - p2) <= tolerance and (allowed is None or (i1, i2) in allowed):
-            choice = (min(p1, p2), i1, i2)
-        else:
-            ways = [(rc_score(r1[k], q1[k], r2[k], q2[k], min(p, whole)), p, i, j) for p, i, j in ((p1, i1, -1), (p2, -1, i2)) if max(i, j) >= 0 and p <= whole]
-            good = [w for w in ways if w[1] == 0 or w[0] * (w[1] + 1) >= w[1] * MU * (1 - epsilon)]
-            if good:
-                _, p, i, j = max(good)
-                choice = (p, i, j)
+        best, choice = -1.0, (min(len(r1[k]), len(r2[k])), -1, -1)
+        texts = [code(t) for t in (r1[k], q1[k], r2[k], q2[k])] if k in found else []
+        for at, (one, two) in sorted(found.get(k, {}).items()):
+            agreed = _agreement(*texts, at, epsilon)
+            if agreed is None:
+                continue
+            if one and two:
+                ways = [(x + y, i, j) for x, i in one for y, j in two if allowed is None or (i, j) in allowed]
+            else:
+                ways = [(x, i, -1) for x, i in one] + [(y, -1, j) for y, j in two]
+            for score, i, j in ways:
+                if agreed + score > best:
+                    best, choice = agreed + score, (at, i, j)
         out.append(choice)
     return out
 

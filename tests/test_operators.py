@@ -481,3 +481,36 @@ def test_mismatch_tags(spark):
     rows = seeds.seed_loci(reads, seeds.build_index(spark.createDataFrame([("c", c)], "chrom string, seq string"), 18)).join(reads, "read_id")
     got = {x["qname"]: (x["pos"], x["cigar"], {t["tag"]: t["value"] for t in x["tags"]}) for x in alignments.aligned_sam(rows).collect()}
     assert got == {"a": (101, "60M", {"NH": "1", "MD": f"30{c[130]}29"}), "b": (201, "60M", {"NH": "1", "MD": f"19{c[219]}40"})}
+
+
+def test_hits_and_joint_pairs_match_brute_force():
+    r = random.Random(23)
+    ad = "AGATCGGAAGAGCACACG"
+    reads, quals = [], []
+    for _ in range(60):
+        n = r.randint(0, 50)
+        t = dna(r, n) + ad[: r.randint(0, 18)] + dna(r, r.randint(0, 10))
+        reads.append("".join(r.choice("ACGT") if r.random() < 0.05 else c for c in t) or "A")
+        quals.append("".join(r.choice("#5:I") for _ in reads[-1]))
+    cost = lambda q: 0.477 if q <= 0 else 4.477 if q > 39 else 0.477 + q / 10
+    got = {}
+    for k, i, at, score in zip(*adapter.hits(reads, quals, [ad], 0.15, delta=0.0)):
+        got[int(k), int(at)] = (int(i), round(float(score), 6))
+    want = {}
+    for k, (t, q) in enumerate(zip(reads, quals)):
+        for at in range(len(t)):
+            m = min(len(ad), len(t) - at)
+            c = sum(cost(ord(q[at + x]) - 33) for x in range(m) if t[at + x] != ad[x])
+            if m >= min(adapter.default_overlap(0.15), len(ad) + 1) and c < 0.15 * 2.477 * m + 0.001:
+                want[k, at] = (0, round(2.477 * m - c, 6))
+    assert got == want and len(want) > 30
+    pairs, truth = [], []
+    for _ in range(80):
+        frag = dna(r, r.randint(0, 45))
+        a, b = (frag + ad + dna(r, 40))[:40], (rc(frag) + ad + dna(r, 40))[:40]
+        pairs.append((a, "I" * 40, b, "I" * 40))
+        truth.append(min(len(frag), 40))
+    out = adapter.pair_scan(*map(list, zip(*pairs)), [ad], [ad])
+    assert all(x[0] == t for x, t in zip(out, truth) if t <= 36) and sum(t <= 36 for t in truth) > 40
+    none = adapter.pair_scan(*map(list, zip(*pairs)), [ad], [ad], allowed=set())
+    assert all(n == (40, -1, -1) for n, x in zip(none, out) if x[1] >= 0 and x[2] >= 0)
