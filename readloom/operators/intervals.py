@@ -80,6 +80,16 @@ def annotate(queries: DataFrame, db: DataFrame, width: int = BIN) -> DataFrame:
     return out.withColumns({f"{c}s": F.coalesce(f"{c}s", F.array().cast("array<string>")) for c in columns})
 
 
+def fractional_counts(queries: DataFrame, db: DataFrame, reads: str = "reads", width: int = BIN) -> DataFrame:
+    """(gene_type, reads) as ``annotation_stats`` of ``annotate`` gives them, without a list for any query.
+
+    The reads of a query are shared equally among its hits, whose number is an aggregate joined back by id.
+    """
+    hits = overlap_join(queries, db, "inner", width).select("id", reads, F.col("db_gene_type").alias("gene_type")).where("gene_type IS NOT NULL")
+    many = hits.groupBy("id").agg(F.count("*").alias("hits"))
+    return hits.join(many, "id").groupBy("gene_type").agg(F.sum(F.col(reads) / F.col("hits")).alias("reads"))
+
+
 FILTERED_TYPES = ("miRNA", "mirtron", "tRNA", "unprocessed_pseudogene")
 
 

@@ -17,7 +17,7 @@ from ..functions import sequence as S
 
 MAX_K = 35
 MAX_PATHS = 10_000
-#: More edges than this mean that nothing was pruned; assembly gives up instead of collecting them.
+#: A graph of more edges than this is refused with an error: its fragments are no bounded sample, or nothing was pruned.
 MAX_EDGES = 200_000
 
 
@@ -161,7 +161,7 @@ def assemble(frags: DataFrame, prune_factor: float = 0.03, sensitive: bool = Fal
                     floor = max(1, math.ceil(total * prune_factor / 25))
                     rows = [((r.a, r.pa), (r.b, r.pb), r.cnt) for r in table.where(F.col("cnt") >= (1 if accumulate else floor)).limit(MAX_EDGES + 1).collect()]
                     if len(rows) > MAX_EDGES:
-                        break
+                        raise ValueError(f"more than {MAX_EDGES} edges are left; take fewer fragments or a larger prune_factor")
                     graph.add(rows)
                 paths = simple_paths(graph.cut(least))
                 if paths:

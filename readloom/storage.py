@@ -31,7 +31,7 @@ def stored(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     Spark removes the job's shuffle files once the table is written.
     """
     spark = df.sparkSession
-    path, before = work_dir(spark, label), spark.conf.get(_CLEAN)
+    path, before = work_dir(spark, label), spark.conf.get(_CLEAN, "false")
     spark.conf.set(_CLEAN, "true")
     try:
         df.write.option("compression", compression).parquet(path)
