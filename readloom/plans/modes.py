@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adapter, disposition, kmers, overlap, seeds
+from ..storage import stored
 from .views import ADAPTER1, ADAPTER2
 
 SAMPLE = 10_000
@@ -36,7 +37,7 @@ def detect_single(reads: DataFrame, index: seeds.SeedIndex, prune_factor: float
     for i in range(batches):
         part = seeds.sample(reads, n * (i + 1))
         rows = seeds.seed_align(part, index, max_align, allow_mismatch).where(F.length("tail") > 0)
-        found = seeds.merged(rows).select("tail")
+        found = stored(seeds.merged(rows).select("tail"), "tails")  # counted here, then gone through for each k
         if i == batches - 1 or found.count() >= least_tails:
             break
     text, low = kmers.assemble(found, prune_factor, sensitive)
