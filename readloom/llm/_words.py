@@ -23,7 +23,7 @@ _LOWER[0x80:] = np.arange(0x80, 0x100)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _powers = np.ones(1, np.uint64)
 
 

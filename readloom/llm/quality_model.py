@@ -71,7 +71,7 @@ def grams(texts: pa.Array) -> np.ndarray:
 
 def vectors(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Rows of the columns ``keep`` and their whole feature vectors, from rows of ``features``."""
-    for b in chunks(batches, "t"):
+    for b in chunks(batches, "t", 1 << 19):
         x = b.column(len(keep) + 1)
         shares = x.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, N_SHARES)
         yield pa.RecordBatch.from_arrays(b.columns[: len(keep)], keep), np.concatenate([shares, grams(b.column(len(keep)))], 1)
