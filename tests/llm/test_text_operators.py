@@ -720,3 +720,22 @@ def test_decontamination_edges(spark, edge, nothing):
     assert got == {(5, 2, 1), (6, 2, 1), (None, 2, 0)}
     assert decontaminate.report(nothing, bench).count() == 0 and decontaminate.report(edge, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.report(edge, bench).count() == edge.count()
+
+
+def test_spans_are_merged_like_one_by_one():
+    r = np.random.default_rng(1)
+    n = 400
+    rid, role, begin, partner = r.integers(0, 5, n), r.integers(0, 2, n), r.integers(0, 3000, n), r.integers(0, 99, n)
+    end = begin + r.integers(50, 90, n)
+    out = substring_dedup._merged(rid, role, begin, end, begin * 6, end * 6, partner)
+    want = set()
+    for key in {(int(a), int(b)) for a, b in zip(rid, role)}:
+        now = None
+        for s, t, q in sorted((int(begin[i]), int(end[i]), int(partner[i])) for i in range(n) if (rid[i], role[i]) == key):
+            if now and s <= now[1]:
+                now = (now[0], max(now[1], t), min(now[2], q))
+            else:
+                want |= {(*key, *now)} if now else set()
+                now = (s, t, q)
+        want.add((*key, *now))
+    assert {tuple(map(int, x)) for x in zip(*out[:4], out[6])} == want and (out[4] == out[2] * 6).all() and (out[5] == out[3] * 6).all()
