@@ -32,4 +32,6 @@ def chunks(contigs: DataFrame, size: int, before: int = 0, after: int = 0, sprea
                     yield pa.RecordBatch.from_arrays(columns, ["chrom", "chunk", "first", "text"])
 
     rows = contigs.select(F.col("chrom").cast("string").alias("chrom"), "seq").mapInArrow(cut, "chrom string, chunk long, first long, text string")
-    return rows.repartition("chrom", "chunk") if spread else rows
+    # a given number: what is made of chunks is many times their size, by which Spark would put them into one task
+    parts = int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "chrom", "chunk") if spread else rows

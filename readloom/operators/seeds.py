@@ -23,6 +23,11 @@ MAX_READ = 256
 CHUNK = 1024
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast: k-mers and places are many times what the planner takes from the contigs' file."""
+    return df.hint("merge")
+
+
 @dataclass
 class SeedIndex:
     """``kmers`` (kmer, chrom, pos) and ``chunks`` (chrom, chunk, first, text), the reference in overlapping parts."""
@@ -102,11 +107,27 @@ def _long_windows(found: DataFrame, index: SeedIndex) -> DataFrame:
     rows = found.select(*names, begin.alias("begin"), stop.alias("stop"))
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / CHUNK), F.floor((F.col("stop") - 1) / CHUNK))))
     core = index.chunks.select("chrom", "chunk", F.expr(f"substring(text, int(chunk * {CHUNK} - first) + 1, {CHUNK})").alias("core"))
-    rows = rows.join(core, ["chrom", "chunk"]).groupBy(*names, "begin", "stop").agg(F.sort_array(F.collect_list(F.struct("chunk", "core"))).alias("parts"))
+    rows = rows.join(_shuffled(core), ["chrom", "chunk"]).groupBy(*names, "begin", "stop").agg(F.sort_array(F.collect_list(F.struct("chunk", "core"))).alias("parts"))
     window = F.expr(f"substring(array_join(transform(parts, x -> x.core), ''), int(begin % {CHUNK}) + 1, int(stop - begin))")
     return rows.select(*names, F.when(F.col("strand") == "+", window).otherwise(S.revcomp(window)).alias("window"))
 
 
+def _one_off(probes: DataFrame, index: SeedIndex) -> DataFrame:
+    """``probes`` with the places (chrom, pos) of k-mers that differ from their ``kmer`` in exactly one base.
+
+    One of both halves is exact (pigeonhole), and never both, so each half is an equi-join and finds a place once.
+    """
+    k, out = index.k, None
+    half = k // 2
+    for begin, size in ((1, half), (half + 1, k - half)):
+        exact, rest = (lambda c: F.substring(c, begin, size)), (lambda c: F.substring(c, half + 1, k - half) if begin == 1 else F.substring(c, 1, half))  # noqa: B023
+        t = index.kmers.select(exact("kmer").alias("h"), rest("kmer").alias("rest__"), "chrom", F.col("pos").cast("long").alias("pos"))
+        pairs = probes.withColumns({"h": exact("kmer"), "own__": rest("kmer")}).join(_shuffled(t), "h").where(F.levenshtein("own__", "rest__", 1) == 1)
+        pairs = pairs.select(*probes.columns, "chrom", "pos")
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFrame:
     """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``.
 
@@ -115,19 +136,19 @@ def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFram
     """
     k = index.k
     usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
-    forward = usable.select("read_id", "seq", F.lit("+").alias("strand"), F.substring("seq", 1, k).alias("kmer"))
-    reverse = forward.select("read_id", "seq", F.lit("-").alias("strand"), S.revcomp("kmer").alias("kmer"))
+    forward = usable.select("read_id", F.lit("+").alias("strand"), F.substring("seq", 1, k).alias("kmer"))
+    reverse = forward.select("read_id", F.lit("-").alias("strand"), S.revcomp("kmer").alias("kmer"))
     both = forward.unionByName(reverse)
-    found = both.join(index.kmers, "kmer")
+    found = both.join(_shuffled(index.kmers), "kmer").drop("kmer")
     if mismatch:
-        bare = both.join(index.kmers.select("kmer"), "kmer", "left_anti").withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(k))))
-        bare = bare.withColumn("base", F.explode(F.array(*map(F.lit, "ACGT")))).where("base <> substring(kmer, at, 1)")
-        found = found.unionByName(bare.withColumn("kmer", F.expr("overlay(kmer PLACING base FROM at)")).drop("at", "base").join(index.kmers, "kmer"))
+        bare = both.join(_shuffled(index.kmers.select("kmer")), "kmer", "left_anti")
+        found = found.unionByName(_one_off(bare, index).drop("kmer"))
+    found = found.join(_shuffled(usable), "read_id")
     ahead = F.expr(f"substring(text, int(pos - first) + 1, {MAX_READ})")
     behind = F.expr(f"substring(text, int(greatest(pos + {k} - {MAX_READ}, first) - first) + 1, int(pos + {k} - greatest(pos + {k} - {MAX_READ}, first)))")
     window = F.when(F.col("strand") == "+", ahead).otherwise(S.revcomp(behind))
     near = found.where(F.length("seq") <= MAX_READ).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
-    rows = near.join(index.chunks, ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
+    rows = near.join(_shuffled(index.chunks), ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
     rows = rows.unionByName(_long_windows(found.where(F.length("seq") > MAX_READ), index))
     return rows.mapInArrow(lambda batches: _extend(batches, k), _HIT)
 
@@ -155,7 +176,7 @@ def seed_loci(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mism
     key = ["read_id", "strand", "mismatch_at", "alt", "prefix_len"]
     counts = rows.groupBy(*key).agg(F.count("*").alias("n_loci"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
-    each = rows.alias("a").join(counts.alias("b"), (F.col("a.read_id") == F.col("b.read_id")) & same[1] & same[2] & same[3] & same[4]).select("a.*", "b.n_loci")
+    each = rows.alias("a").join(_shuffled(counts.alias("b")), (F.col("a.read_id") == F.col("b.read_id")) & same[1] & same[2] & same[3] & same[4]).select("a.*", "b.n_loci")
     pos = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") + index.k - F.col("prefix_len"))
     each = _finished(each.withColumn("pos", pos), reads, max_align, "1")
     return each.select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci", "chrom", "pos")
@@ -182,11 +203,11 @@ def _places(reads: DataFrame, index: SeedIndex, allow_mismatch: bool) -> DataFra
 
 def _finished(rows: DataFrame, reads: DataFrame, max_align: int, weight: str) -> DataFrame:
     """``rows`` with ``tail``, without reads of more than ``max_align`` places."""
-    rows = rows.join(reads.select("read_id", F.upper("seq").alias("seq")), "read_id")
+    rows = rows.join(_shuffled(reads.select("read_id", F.upper("seq").alias("seq"))), "read_id")
     rows = rows.withColumn("tail", F.expr("substring(seq, prefix_len + 1)")).drop("seq")
     if max_align > 0:
         many = rows.groupBy("read_id").agg(F.sum(F.expr(weight)).alias("t")).where(F.col("t") > max_align)
-        rows = rows.join(many, "read_id", "left_anti")
+        rows = rows.join(_shuffled(many), "read_id", "left_anti")
     return rows
 
 
@@ -196,22 +217,15 @@ def seed_mismatch(reads: DataFrame, index: SeedIndex) -> DataFrame:
     One of both halves is exact (pigeonhole), so each half is an equi-join; the rest is verified.
     """
     k = index.k
-    half = k // 2
     usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
-    q = usable.select("read_id", F.substring("seq", 1, k).alias("q"))
-    t = index.kmers
-    out = None
-    for begin, size in ((1, half), (half + 1, k - half)):
-        key = lambda c: F.substring(c, begin, size)  # noqa: E731, B023
-        pairs = q.withColumn("h", key("q")).join(t.withColumn("h", key("kmer")), "h").where(S.hamming("q", "kmer") == 1)
-        out = pairs if out is None else out.unionByName(pairs)
+    out = _one_off(usable.select("read_id", F.substring("seq", 1, k).alias("kmer")), index)
     return out.select("read_id", "chrom", F.col("pos").cast("long").alias("pos")).distinct()
 
 
 def shortest_tail(rows: DataFrame) -> DataFrame:
     """Rows of each read with its shortest tail."""
     least = rows.groupBy("read_id").agg(F.min(F.length("tail")).alias("t__"))
-    return rows.join(least, "read_id").where(F.length("tail") == F.col("t__")).drop("t__")
+    return rows.join(_shuffled(least), "read_id").where(F.length("tail") == F.col("t__")).drop("t__")
 
 
 def merged(rows: DataFrame) -> DataFrame:

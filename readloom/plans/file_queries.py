@@ -289,7 +289,7 @@ def _drawn(contigs: DataFrame) -> DataFrame:
 def _located(contigs: DataFrame) -> DataFrame:
     reads = _drawn(contigs)
     rows = seeds.seed_loci(reads, seeds.build_index(contigs, 20), allow_mismatch=False)
-    return rows.join(reads, "read_id").withColumn("qual", F.expr("repeat('I', length(seq))"))
+    return rows.join(reads.hint("merge"), "read_id").withColumn("qual", F.expr("repeat('I', length(seq))"))
 
 
 @query("contigs", f"WITH {_DRAWN} SELECT read_id, strand, p AS prefix_len, tail, n_loci, chrom, begin AS pos FROM l")

@@ -514,3 +514,13 @@ def test_hits_and_joint_pairs_match_brute_force():
     assert all(x[0] == t for x, t in zip(out, truth) if t <= 36) and sum(t <= 36 for t in truth) > 40
     none = adapter.pair_scan(*map(list, zip(*pairs)), [ad], [ad], allowed=set())
     assert all(n == (40, -1, -1) for n, x in zip(none, out) if x[1] >= 0 and x[2] >= 0)
+
+
+def test_joins_of_seeds_are_never_broadcast(spark):
+    """The planner takes k-mers for as small as the contigs' file; broadcast, they take the driver's memory."""
+    r = random.Random(5)
+    contigs = [dna(r, 200) for _ in range(3)]
+    table = seeds.build_index(spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(contigs)], "chrom string, seq string"), 12)
+    reads = spark.createDataFrame([(i, contigs[i % 3][i : i + 40]) for i in range(30)], "read_id long, seq string")
+    for rows in (seeds.seed_align(reads, table), seeds.seed_loci(reads, table), seeds.seed_mismatch(reads, table)):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
