@@ -341,8 +341,8 @@ def coverage_runs(queries, features):
 @query("queries features", f"""WITH h AS (SELECT q.id, array_agg(d.gene_type) AS t FROM queries q JOIN features d ON {_HIT} GROUP BY q.id)
 SELECT gene_type, round(sum(p), 6) AS reads FROM (SELECT unnest(t) AS gene_type, (id % 10 + 1) / len(t) AS p FROM h) GROUP BY 1""")
 def anno_fractional_counts(queries, features):
-    rows = intervals.annotate(queries, features).withColumn("reads", F.col("id") % 10 + 1)
-    return intervals.annotation_stats(rows).select("gene_type", F.round("reads", 6).alias("reads"))
+    rows = intervals.fractional_counts(queries.withColumn("reads", F.col("id") % 10 + 1), features)
+    return rows.select("gene_type", F.round("reads", 6).alias("reads"))
 
 
 @query("queries features", f"""WITH h AS (SELECT q.id, count(*) AS n FROM queries q JOIN features d ON {_HIT} GROUP BY q.id)
@@ -361,14 +361,14 @@ def ppm(queries):
 @query("queries features", f"""WITH h AS (SELECT q.id, max(CAST(d.gene_type IN ('type1', 'type3') AS INT)) AS f FROM queries q LEFT JOIN features d ON {_HIT} GROUP BY q.id)
 SELECT id, coalesce(f, 0) = 1 AS is_filtered FROM h""")
 def annotation_filter(queries, features):
-    return intervals.mark_filtered(intervals.annotate(queries, features), ("type1", "type3")).select("id", "is_filtered")
+    return intervals.filtered(queries, features, ("type1", "type3")).select("id", "is_filtered")
 
 
 @query("queries features", f"""SELECT source, count(*) AS n FROM (SELECT 'a' AS source, chrom, begin, stop FROM features UNION ALL SELECT 'b', chrom, begin, stop FROM queries) d
   JOIN queries q ON {_HIT} GROUP BY source""")
 def multi_source_overlap(queries, features):
     both = intervals.union_databases(a=features, b=queries)
-    return intervals.overlap_join(queries, both).groupBy(F.col("db_source").alias("source")).agg(F.count("*").alias("n"))
+    return intervals.overlap_sums(both, queries).where("hits > 0").groupBy("source").agg(F.sum("hits").alias("n"))
 
 # -- adapters -----------------------------------------------------------------------------------------
 

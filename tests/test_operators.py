@@ -524,3 +524,34 @@ def test_joins_of_seeds_are_never_broadcast(spark):
     reads = spark.createDataFrame([(i, contigs[i % 3][i : i + 40]) for i in range(30)], "read_id long, seq string")
     for rows in (seeds.seed_align(reads, table), seeds.seed_loci(reads, table), seeds.seed_mismatch(reads, table)):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_overlaps_without_pairs(spark):
+    r = random.Random(21)
+    def some(n, far):
+        rows = [(i, r.choice(["a", "b", "only" + str(far), None]), b := r.randrange(9_000), b + r.choice([-3, 0, 1, 40, far]), r.choice(["x", "y", None]), i % 7 + 1) for i in range(n)]
+        return rows, spark.createDataFrame(rows, "id long, chrom string, begin long, stop long, gene_type string, reads long")
+
+    (q, qs), (d, ds) = some(150, 6_000), some(200, 5_000)
+    hit = lambda a, b: a[1] is not None and a[1] == b[1] and a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and a[3] >= b[2]
+    want = {a[0]: (sum(hit(a, b) for b in d), sum(b[5] / 3 for b in d if hit(a, b))) for a in q}
+    got = {x["id"]: (x["hits"], x["total"]) for x in intervals.overlap_sums(qs, ds, F.col("reads") / 3).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    marked = intervals.mark_filtered(intervals.annotate(qs, ds), ("x",))
+    assert sorted(intervals.filtered(qs, ds, ("x",)).select("id", "is_filtered").collect()) == sorted(marked.select("id", "is_filtered").collect())
+    old = {x["gene_type"]: x["reads"] for x in intervals.annotation_stats(intervals.annotate(qs, ds)).collect()}
+    new = {x["gene_type"]: x["reads"] for x in intervals.fractional_counts(qs, ds).collect()}
+    assert old.keys() == new.keys() and all(abs(old[k] - new[k]) < 1e-9 for k in old)
+    runs = set()
+    for a in q:
+        points = {a[2], a[3]} | {p for b in d if hit(a, b) for p in (max(a[2], b[2]), min(a[3], b[3]))}
+        for x, y in zip(sorted(points), sorted(points)[1:]):
+            runs.add((a[0], a[1], x, y, sum(hit(a, b) and b[2] <= x < b[3] for b in d)))
+    rows = [tuple(x) for x in intervals.coverage(qs, ds).collect()]
+    assert len(rows) == len(runs) and set(rows) == runs
+    assert intervals.overlap_sums(qs, ds.limit(0)).agg(F.sum("hits")).first()[0] == 0
+    # 1.6e9 pairs
+    many = spark.range(40_000).select("id", F.lit("a").alias("chrom"), (F.col("id") % 10).alias("begin"), (F.col("id") % 10 + 50).alias("stop"))
+    assert intervals.overlap_sums(many, many).agg(F.sum("hits")).first()[0] == 40_000**2
+    assert intervals.coverage(many, many).where("depth < 4000 OR depth > 40000").count() == 0
