@@ -739,3 +739,22 @@ def test_spans_are_merged_like_one_by_one():
                 now = (s, t, q)
         want.add((*key, *now))
     assert {tuple(map(int, x)) for x in zip(*out[:4], out[6])} == want and (out[4] == out[2] * 6).all() and (out[5] == out[3] * 6).all()
+
+
+def test_windows_of_texts_in_large_groups_are_few_rows(spark):
+    """A passage that many texts share costs a row for each text and task, not one for each of its windows."""
+    rng = np.random.default_rng(8)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 1 << 40, n))
+    common = word(300)
+    docs = spark.createDataFrame([(i, f"{word(60)} {common} {word(60)}") for i in range(60)], "doc_id long, text string").repartition(2)
+    known = docs.select(F.xxhash64("text").alias("rid"), "text")
+    parts = 3
+    first = substring_dedup.seeds(known, 46, 5, substring_dedup.FUNCTIONS, parts)
+    deep = first.where(f"kind = {substring_dedup._DEEP}").select("rid", "more").localCheckpoint()
+    assert 60 <= deep.count() <= 60 * (parts + 1)
+    assert deep.agg(F.sum(F.length("more")) / 16).first()[0] > 60 * 20
+    assert substring_dedup.deeper(deep, known, 46, 5, parts).count() < 60 * 12
+    words = {i: set() for i in range(60)}
+    for x in substring_dedup.report(docs).collect():
+        words[x["doc_id"]] |= set(range(x["begin_word"], x["end_word"]))
+    assert all(w >= set(range(60, 360)) for w in words.values())
