@@ -758,3 +758,50 @@ def test_windows_of_texts_in_large_groups_are_few_rows(spark):
     for x in substring_dedup.report(docs).collect():
         words[x["doc_id"]] |= set(range(x["begin_word"], x["end_word"]))
     assert all(w >= set(range(60, 360)) for w in words.values())
+
+
+def test_repeated_tokens_need_memory_in_proportion():
+    """Texts of few tokens that come again and again: occurrences meet in ranges, not each with each in its reach."""
+    import tracemalloc
+
+    a = np.tile(np.arange(1, 4, dtype=np.uint64), 4000)
+    b = a.copy()
+    b[::40] = 9  # no window is equal
+    one = [np.array([v]) for v in (0, len(a) - 46, 0)]
+    tracemalloc.start()
+    k, x = substring_dedup.alike(a, b, *one, 46, 4, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not len(x) and peak < 1000 * len(a), peak / len(a)
+
+
+def test_marked_starts_mark_what_all_comparisons_mark():
+    """Starts that are skipped or accepted early leave the marked windows of both texts of each pair as they are."""
+    r = np.random.default_rng(12)
+    skipped = 0
+    for trial in range(80):
+        few = trial % 3 == 0
+        a, b, runs = [], [], []
+        for row in range(3):
+            own = r.integers(0, 30 if few else 1 << 62, int(r.integers(60, 160))).tolist()
+            mate = list(own)
+            for _ in range(int(r.integers(0, 7))):
+                at, kind = int(r.integers(0, len(mate))), int(r.integers(0, 3))
+                mate[at : at + (kind > 0)] = [int(r.integers(0, 1 << 62))] * (kind < 2)
+            for e in range(-6, 7):
+                x0, x1 = max(0, -e), min(len(own), len(mate) - e) - 46
+                if x0 <= x1:
+                    runs.append((row, len(a) + x0, len(a) + x1, len(b) + x0 + e))
+            a, b = a + own, b + mate
+        a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+        row, x0, x1, y0 = (np.array(c) for c in zip(*runs))
+        first = [substring_dedup._firsts(c, 46) for c in (a, b)]
+        k, x = substring_dedup.alike(a, b, x0, x1, y0, 46, 4, 5)
+        k2, x2 = substring_dedup.marked_starts(a, b, *first, row, x0, x1, y0, 46, 4, 5)
+        every, some = set(zip(k.tolist(), x.tolist())), set(zip(k2.tolist(), x2.tolist()))
+        k3, x3 = substring_dedup.possible(a, b, *first, x0, x1, y0, 46, 4, 5)
+        assert some <= every <= set(zip(k3.tolist(), x3.tolist())) and len(some) == len(x2)
+        sides = lambda s: ({(row[i], p) for i, p in s}, {(row[i], y0[i] + p - x0[i]) for i, p in s})
+        assert sides(some) == sides(every)
+        skipped += len(every) - len(some)
+    assert skipped
