@@ -15,12 +15,13 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 
-#: Pieces kept by a worker, about 150 MB. When full the cache is emptied, which costs time only.
+#: Pieces kept by a worker, about 150 MB, in two halves: when one is full, the one before it is forgotten.
 CACHE_PIECES = 600_000
 GROUP_CHARS = 1 << 20
 
@@ -31,6 +32,16 @@ _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ODD = re.compile("\\s\\s|[^\\S \\n]|[\u180e\u200b\ufeff]|\\A\\s|\\s\\Z")
 
+#: Letters that are one pre-token of their own, in any normalisation: a model's own call gives their ids.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """What byte-level tokenizers write for a space and for the letters above."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in [32, *range(0xC0, 0x100)]}
+
 
 def _spaced(text: str) -> list[str]:
     return text.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
@@ -69,7 +80,8 @@ class Encoder:
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.most, self.known, self.specials = path, cache_pieces, {}, ()
+        self.path, self.most, self.known, self.older, self.specials = path, cache_pieces, {}, {}, ()
+        self._model = None
         self.mark, self.mark_id = None, -1
         if path.endswith(".model"):
             import sentencepiece
@@ -88,6 +100,9 @@ class Encoder:
             marks = [t for t in config.get("added_tokens") or () if t.get("special") and not t.get("normalized")]
             if self.kind != "whole" and marks:
                 self.mark, self.mark_id = marks[0]["content"], marks[0]["id"]
+            levels = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+            if (self.kind == "spaced" or levels[-1].get("type") == "ByteLevel") and not any(_LETTERS.fullmatch(s.strip()) for s in self.specials):
+                self._model, self._bytes = lib.model.tokenize, _byte_letters()
             self.bytes_of = np.zeros(max(lib.get_vocab().values()) + 1, np.int64)
             for token, i in lib.get_vocab().items():
                 self.bytes_of[i] = len(token.removesuffix("</w>"))  # a byte-level token has a character for each byte
@@ -99,6 +114,11 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Put distinct pieces into the cache; both tokenizers end a token where punctuation follows a letter."""
+        if self.older:
+            old = [(p, ids) for p, ids in zip(pieces, map(self.older.get, pieces)) if ids is not None]
+            self.known.update(old)
+            pieces = list(set(pieces).difference(p for p, _ in old)) if old else pieces
+        pieces = self._learn_direct(pieces)
         bases = list(map(str.rstrip, pieces, repeat(_PUNCTUATION)))
         ends = [(p, b, p[len(b) :]) for p, b in zip(pieces, bases) if len(b) < len(p) and b[-1:].isalpha()]
         text = "\n".join(pieces)
@@ -118,6 +138,7 @@ class Encoder:
         changes letters, the pieces are joined by a special token, which the library splits at first.
         """
         plain = self.kind == "plain"
+        pieces = self._learn_direct(pieces)
         apart = [bool(p) and p.isascii() for p in pieces] if plain else [p[:1] == " " for p in pieces]
         joined = [p for p, a in zip(pieces, apart) if a]
         marked = [p for p, a in zip(pieces, apart) if not a]
@@ -135,6 +156,29 @@ class Encoder:
             self.known.update(zip(part, [raw[x:y] for x, y in zip([0, *cut], cut)]))
         self.known.update(zip(marked, self._marked(marked)))
 
+    def _learn_direct(self, pieces: list[str]) -> list[str]:
+        """Encode pieces of letters alone, with a space before them or none, by the library's model; the others."""
+        if self._model is None:
+            return pieces
+        plain, letters, model, table = self.kind == "plain", _LETTERS.fullmatch, self._model, self._bytes
+        ids, ends, done, rest = [], [], [], []
+        for p in pieces:
+            spaced = not plain and p[:1] == " "
+            if not letters(p, spaced):
+                rest.append(p)
+                continue
+            w = p.lower() if plain else p
+            if not w.isascii():
+                w = w.translate(table)
+            elif spaced:
+                w = table[32] + w[1:]
+            ids += [t.id for t in model(w)]
+            ends.append(len(ids))
+            done.append(p)
+        raw, cut = np.asarray(ids, self.dtype).tobytes(), [self.width * n for n in ends]
+        self.known.update(zip(done, [raw[x:y] for x, y in zip([0, *cut], cut)]))
+        return rest
+
     def _marked(self, pieces: list[str]) -> list[bytes]:
         if self.mark is None:
             return self._encode(pieces)
@@ -171,11 +215,19 @@ class Encoder:
         cut = _spaced if self.kind == "spaced" else _plain
         odd = [self.kind == "spaced" and (_is_odd(t) or any(s in t for s in self.specials)) for t in texts]
         pieces = [() if o else cut(t) for t, o in zip(texts, odd)]
-        if len(self.known) > self.most:
-            self.known.clear()
-        self._learn(list(set().union(*pieces).difference(self.known)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, p)) for p in pieces]
+        if 2 * len(self.known) > self.most:
+            self.older, self.known = self.known, {}
+        flat = list(chain.from_iterable(pieces))
+        found = list(map(self.known.get, flat))
+        new = list(compress(range(len(flat)), map(is_, found, repeat(None))))
+        if new:
+            self._learn(list({flat[i] for i in new}))
+            for i in new:
+                found[i] = self.known[flat[i]]
+        out, at = [], 0
+        for p in pieces:
+            out.append(b"".join(found[at : at + len(p)]))
+            at += len(p)
         for i, ids in zip([i for i, o in enumerate(odd) if o], self._encode([t for t, o in zip(texts, odd) if o])):
             out[i] = ids
         return out

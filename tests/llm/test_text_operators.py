@@ -805,3 +805,22 @@ def test_marked_starts_mark_what_all_comparisons_mark():
         assert sides(some) == sides(every)
         skipped += len(every) - len(some)
     assert skipped
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_full_cache_keeps_frequent_pieces(name):
+    """Pieces that come again are encoded once however many others pass through the cache; all ids are the library's."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    texts = [" ".join([f"often{k}" for k in range(5)] + ["".join(r.choices(letters, k=r.randint(1, 9))) + r.choice(["", "", ",", "7"]) for _ in range(20)]) for _ in range(60)]
+    texts += [f"{a}\n{b} {a}{b}" for a in letters for b in "xÉß"]
+    path = encoders.vocabulary(name)
+    enc, library = encoders.Encoder(path, 400), Tokenizer.from_file(path)
+    given, call = [], enc._library
+    enc._library = lambda batch: given.extend(batch) or call(batch)
+    got = [np.frombuffer(enc.encode([t])[0], enc.dtype).tolist() for t in texts]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert "\n".join(given).count("often3") <= 2  # with a space before it or none
+    assert len(enc.known) + len(enc.older) <= 400 + 100
