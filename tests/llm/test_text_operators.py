@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import sys
 import zlib
 from pathlib import Path
 
@@ -824,3 +825,50 @@ def test_a_full_cache_keeps_frequent_pieces(name):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert "\n".join(given).count("often3") <= 2  # with a space before it or none
     assert len(enc.known) + len(enc.older) <= 400 + 100
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_words_are_encoded_many_in_a_call(name):
+    """The library is called for groups of new pieces, not for each; all ids are the library's."""
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyzABCÀÉÖßéøÿ"
+    texts = [" ".join("".join(r.choices(letters, k=r.randint(4, 9))) + r.choice(["", ",", ".'"]) for _ in range(100)) for _ in range(30)]
+    want = list(map(library(name), texts))
+    enc, calls = encoders.Encoder(encoders.vocabulary(name)), []
+
+    def count(frame, event, f):
+        if event == "c_call" and type(getattr(f, "__self__", None)).__module__.startswith("tokenizers"):
+            calls.append(f)
+
+    sys.setprofile(count)
+    try:
+        got = enc.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert [np.frombuffer(x, enc.dtype).tolist() for x in got] == want
+    assert len(calls) <= 20
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_end_where_tokens_end(name, monkeypatch):
+    """Any mix of letters, marks, digits, signs, white space and special strings, in groups of any size."""
+    r = random.Random(8)
+    some = [*"abtsSreé×÷ÿßÀªµΣ日Жя0٣.,'!<=|̸́​ \u0085　\x1c\t\r\x00\x7f", "'s", "'re", "🙂", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(r.choice(some[: r.choice([9, 30, len(some)])] + [" ", "\n"]) for _ in range(r.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(a + b + c for a in "é×ÿ日5'") for b in ".'é" for c in ["", " ", "s"]]
+    want = list(map(library(name), texts))
+    for most in (1, 200, 1 << 20):
+        monkeypatch.setattr(encoders, "GROUP_CHARS", most)
+        enc = encoders.Encoder(encoders.vocabulary(name), 300)
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want
+
+
+def test_slices_of_texts_are_whole_and_bounded():
+    texts = [None, "", "é" * 30, None, "x" * 500, "a", "b", *["cc"] * 90]
+    for kind in (pa.string(), pa.large_string()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(97)), pa.array(texts, kind)], ["doc_id", "text"])
+        got = list(encoders.text_lists(iter([batch, batch.slice(0, 0), batch.slice(3)]), 100))
+        assert [t for _, part in got for t in part] == [t or "" for t in texts + texts[3:]]
+        assert [i for rows, _ in got for i in rows.column(0).to_pylist()] == [*range(97), *range(3, 97)]
+        assert all(rows.num_rows == len(part) for rows, part in got)
+        assert all(len("".join(part[1:]).encode()) < 100 for _, part in got) and len(got) == 7
