@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 #: Pieces kept by a worker, about 150 MB, in two halves: when one is full, the one before it is forgotten.
 CACHE_PIECES = 600_000
 #: Characters of texts that are cut and joined at once; a larger text is a group of its own.
-GROUP_CHARS = 1 << 22
+GROUP_CHARS = 1 << 20
 
 #: Fixed value: a split pattern that never matches white space.
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -326,3 +326,4 @@ def text_lists(batches: Iterator[pa.RecordBatch], most: int = GROUP_CHARS) -> It
         for at, to in zip(cut, cut[1:]):
             if at < to:
                 yield batch.slice(at, to - at), [t or "" for t in texts.slice(at, to - at).to_pylist()]
+    pa.default_memory_pool().release_unused()  # workers stay while other stages run
