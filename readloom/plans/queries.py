@@ -326,7 +326,8 @@ def interval_overlap(queries, features):
 
 @query("queries features", f"SELECT q.id, array_to_string(list_sort(array_agg(d.id) FILTER (d.id IS NOT NULL)), ',') AS hits FROM queries q LEFT JOIN features d ON {_HIT} GROUP BY q.id")
 def interval_overlap_outer_lists(queries, features):
-    return intervals.overlap_lists(queries, features).select("id", F.when(F.size("hits") > 0, F.array_join("hits", ",")).alias("hits"))
+    rows = intervals.overlap_lists(queries.select("id", "chrom", "begin", "stop"), features, sep=",")
+    return rows.select("id", F.when(F.col("hits") != "", F.col("hits")).alias("hits"))
 
 
 @query("queries features", f"""WITH h AS (SELECT q.id, q.begin AS qb, q.stop AS qs, d.begin AS db, d.stop AS ds FROM queries q JOIN features d ON {_HIT}),

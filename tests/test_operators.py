@@ -356,6 +356,40 @@ def test_interval_joins_match_brute_force(spark):
     assert intervals.overlap_join(qs.limit(0), ds).count() == 0
 
 
+def _shuffled_bytes(spark, job):
+    """Bytes that the stages of ``job`` write for shuffles, and its result."""
+    sc = spark.sparkContext
+    store, none = sc._jsc.sc().statusStore(), sc._gateway.new_array(sc._jvm.double, 0)
+    count = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in _items(store.stageList(None, False, False, none, sc._jvm.java.util.ArrayList()))}
+    before = count()
+    out = job()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in count().items() if k not in before), out
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_interval_lists_shuffle_no_pairs(spark):
+    # one place with 1,500 intervals on both sides: 2,250,000 pairs, which were all shuffled to be grouped by query
+    q = spark.range(1500).selectExpr("'c' AS chrom", "1000 + id % 7 AS begin", "1010 + id % 7 AS stop", "id")
+    n, rows = _shuffled_bytes(spark, lambda: intervals.overlap_lists(q, q).selectExpr("id", "size(hits) AS n").collect())
+    assert {x["n"] for x in rows} == {1500} and len(rows) == 1500
+    assert n < 500_000
+    # lengths far apart, ids of several digits and signs, rows without a hit, a place or an order
+    r = random.Random(11)
+    make = lambda n, sign: [(f"c{r.randint(1, 2)}", b := r.randint(-500, 60_000), b + r.choice([0, 3, 50, 700, 30_000]) - (i == 5), sign * i * i * 37) for i in range(n)]
+    a, b = make(150, 1) + [(None, 1, 9, -1), ("c1", None, 9, -2), ("c9", 1, 9, -3)], make(400, -1) + make(300, 1) + [("c1", 7, 9, None)]
+    qs, ds = (spark.createDataFrame(x, "chrom string, begin long, stop long, id long") for x in (a, b))
+    want = {x[3]: sorted(y[3] for y in b if y[3] is not None and x[0] == y[0] and x[1] is not None and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and x[2] >= y[1]) for x in a}
+    for width in (None, 1, 64, 10_000):
+        assert {x["id"]: x["hits"] for x in intervals.overlap_lists(qs, ds, width=width).collect()} == want
+    texts = {k: ",".join(map(str, v)) for k, v in want.items()}
+    assert {x["id"]: x["hits"] for x in intervals.overlap_lists(qs, ds, sep=",").collect()} == texts
+    assert {x["id"]: x["hits"] for x in intervals.overlap_lists(qs, ds.withColumn("id", F.col("id").cast("string")), sep=", ").collect()} == {k: ", ".join(sorted(map(str, v))) for k, v in want.items()}
+
+
 def test_scoring(spark):
     truth = spark.createDataFrame([("a", 100), ("b", 50), ("c", 50), ("d", 50), ("e", 0), ("f", 9)], "name string, len int")
     out = spark.createDataFrame([("a", 100), ("b", 50), ("c", 60), ("d", 40)], "name string, len int")
