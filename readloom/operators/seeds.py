@@ -1,8 +1,10 @@
 """Seed-and-tail alignment against a k-mer table instead of a suffix index.
 
 The table holds the forward k-mers of the reference with their places; reads probe it with their first
-k bases and with the reverse complement, so one strand is enough. Places are extended in an Arrow pass
-against short overlapping chunks of the reference, found by an equi-join. No task holds a genome.
+k bases and with the reverse complement, so one strand is enough. Up to ``NUMERIC`` bases, k-mers are numbers:
+those of reads and reference with an equal half meet in one part, where one base of the other half may differ;
+few reads go to all tasks that read the reference instead. Places are extended in an Arrow pass
+against short overlapping chunks of the reference. No task holds a genome.
 """
 
 from __future__ import annotations
@@ -16,11 +18,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from ..storage import stored
 from .chunks import chunks
 
 #: Longer reads are extended over several chunks.
 MAX_READ = 256
 CHUNK = 1024
+#: k-mers of so many bases or fewer are looked up as numbers of two bits a base, longer ones as texts.
+NUMERIC = 31
+#: So many reads or fewer go to every task that reads the reference.
+FEW = 50_000
+#: k-mers of a part, of a table made at once, and pairs given out at once.
+PART, TABLE, PAIRS = 1 << 20, 1 << 20, 1 << 20
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -74,7 +83,7 @@ def _prefix(a: bytes, b: bytes, at: int = 0) -> int:
 
 
 def _extend(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    names = ["read_id", "strand", "chrom", "pos", "mm", "m", "alt", "m2"]
+    names = ["read_id", "strand", "chrom", "pos", "mm", "m", "alt", "m2", "seq"]
     for b in batches:
         col = {c: b.column(i).to_pylist() for i, c in enumerate(b.schema.names)}
         rows = []
@@ -85,18 +94,18 @@ def _extend(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             if m < k:  # the substituted base of the seed; never the read's last one
                 if m + 1 < len(read):
                     m2 = _prefix(read, ref, m + 1)
-                    rows.append((read_id, strand, chrom, pos, m, m2, chr(ref[m]), m2))
+                    rows.append((read_id, strand, chrom, pos, m, m2, chr(ref[m]), m2, probe))
                 continue
             if len(read) - m >= 3 and m < len(ref):
                 far = _prefix(read, ref, m + 1)
                 if far > m + 1:
                     alt, m2 = chr(ref[m]), far
-            rows.append((read_id, strand, chrom, pos, -1, m, alt, m2))
-        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 8, types)], names)
+            rows.append((read_id, strand, chrom, pos, -1, m, alt, m2, probe))
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 9, types)], names)
 
 
-_HIT = "read_id long, strand string, chrom string, pos long, mm int, m int, alt string, m2 int"
+_HIT = "read_id long, strand string, chrom string, pos long, mm int, m int, alt string, m2 int, seq string"
 
 
 def _long_windows(found: DataFrame, index: SeedIndex) -> DataFrame:
@@ -128,28 +137,270 @@ def _one_off(probes: DataFrame, index: SeedIndex) -> DataFrame:
     return out
 
 
-def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFrame:
-    """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``.
+_CODE = np.full(256, 4, np.uint8)
+_CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+#: Bits of a probe above its k-mer: the reverse strand, and no base to be substituted.
+_REVERSE, _EXACT = np.uint64(1 << 63), np.uint64(1 << 62)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    With ``mismatch``, first bases without a place on a strand are also looked up with each one substituted:
-    ``mm`` is that base (else -1), ``m`` and ``m2`` the prefix with it.
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of a column of texts without nulls, and where each begins and the last ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = column.cast(pa.large_string())
+    begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), begin
+
+
+def _reference(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of chunks (first two columns: chunk, first; last: text) slices with their k-mers, each one's row and its place in the chunk."""
+    for b in batches:
+        text, at = _bytes(b.column(b.num_columns - 1))
+        skip = b.column(0).to_numpy() * CHUNK - b.column(1).to_numpy()
+        n = np.clip(np.minimum(CHUNK, np.diff(at) - skip - k + 1), 0, None)
+        cuts = np.searchsorted(n.cumsum(), np.arange(0, max(int(n.sum()), 1), TABLE), "left")
+        for lo, hi in zip(cuts, [*cuts[1:], len(n)]):
+            if lo == hi or not n[lo:hi].sum():
+                continue
+            codes = _CODE[text[at[lo] : at[hi]]]
+            size = len(codes) - k + 1
+            v = np.zeros(size, np.uint64)
+            for j in range(k):
+                v = (v << np.uint64(2)) | (codes[j : j + size] & 3)
+            bad = np.r_[0, (codes > 3).cumsum()]
+            row = np.repeat(np.arange(hi - lo), n[lo:hi])
+            off = np.arange(len(row)) - np.repeat(n[lo:hi].cumsum() - n[lo:hi], n[lo:hi])
+            start = (at[lo:hi] - at[lo] + skip[lo:hi])[row] + off
+            good = bad[start + k] == bad[start]
+            yield b.slice(lo, hi - lo), v[start[good]], row[good], off[good]
+
+
+def _probes(ids: np.ndarray, seqs: pa.Array, k: int, mismatch: bool) -> tuple[np.ndarray, np.ndarray]:
+    """k-mers of both strands, with bits for strand and kind, and their reads.
+
+    With ``mismatch``, first k bases with one character besides ACGT are four probes with each base in its place, looked up as they are.
     """
-    k = index.k
-    usable = reads.select("read_id", F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
-    forward = usable.select("read_id", F.lit("+").alias("strand"), F.substring("seq", 1, k).alias("kmer"))
+    text, at = _bytes(seqs)
+    codes = _CODE[text[at[:-1, None] + np.arange(k)]] if len(ids) else np.zeros((0, k), np.uint8)
+    odd = (codes > 3).sum(axis=1)
+    one = codes[odd == 1]
+    where = (one > 3).argmax(axis=1) if len(one) else np.zeros(0, int)
+    sets = [(ids[odd == 0], codes[odd == 0], np.uint64(0))]
+    for base in range(4 if mismatch else 0):
+        each = one.copy()
+        each[np.arange(len(one)), where] = base
+        sets.append((ids[odd == 1], each, _EXACT))
+    kmers, own = [], []
+    for who, c, flag in sets:
+        forward, reverse = np.zeros(len(c), np.uint64), np.zeros(len(c), np.uint64)
+        for j in range(k):
+            forward = (forward << np.uint64(2)) | c[:, j]
+            reverse = (reverse << np.uint64(2)) | (3 - c[:, k - 1 - j])
+        kmers += [forward | flag, reverse | flag | _REVERSE]
+        own += [who, who]
+    return np.concatenate(kmers), np.concatenate(own)
+
+
+class _Table:
+    """k-mers of the reference in order, with a bitmap that most others fail."""
+
+    def __init__(self, kmers: np.ndarray, places: np.ndarray, k: int):
+        order = kmers.argsort(kind="stable")
+        self.k, self.kmers, self.places = k, kmers[order], places[order]
+        self.shift = np.uint64(64 - max(10, min(24, len(kmers).bit_length() + 3)))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.seen[(self.kmers * _MIX) >> self.shift] = True
+
+    def _at(self, kmers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of ``kmers`` are here, and the range of each."""
+        some = np.flatnonzero(self.seen[(kmers * _MIX) >> self.shift])
+        lo = np.searchsorted(self.kmers, kmers[some], "left")
+        here = self.kmers[np.minimum(lo, len(self.kmers) - 1)] == kmers[some]
+        some, lo = some[here], lo[here]
+        return some, lo, np.searchsorted(self.kmers, kmers[some], "right")
+
+    def pairs(self, probes: np.ndarray, bases: range, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(probe, place, exact): equal k-mers if ``exact``, and those with one of ``bases`` (from the right) substituted,
+        for probes without an equal one here."""
+        plain = probes & ~(_REVERSE | _EXACT)
+        some, lo, hi = self._at(plain)
+        if exact:
+            yield from ((i, at, True) for i, at in self._spread(some, lo, hi))
+        if not len(bases):
+            return
+        open_ = (probes & _EXACT) == 0
+        open_[some] = False
+        left = np.flatnonzero(open_)
+        masks = np.array([x << (2 * j) for j in bases for x in (1, 2, 3)], np.uint64)
+        step = max(1, 2 * PAIRS // len(masks))
+        for a in range(0, len(left), step):
+            own = left[a : a + step]
+            i, lo, hi = self._at((plain[own, None] ^ masks).ravel())
+            yield from ((x, at, False) for x, at in self._spread(own[i // len(masks)], lo, hi))
+
+    def _spread(self, i: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = (hi - lo).cumsum()
+        a = 0
+        while a < len(i):
+            b = max(a + 1, int(np.searchsorted(n, (n[a - 1] if a else 0) + PAIRS, "right")))
+            size = (hi - lo)[a:b]
+            at = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size) + np.repeat(lo[a:b], size)
+            yield np.repeat(i[a:b], size), self.places[at]
+            a = b
+
+
+def _strands(probes: np.ndarray) -> pa.Array:
+    return pa.array(np.where((probes & _REVERSE) != 0, "-", "+"))
+
+
+def _few(usable: DataFrame, index: SeedIndex, mismatch: bool) -> DataFrame:
+    """(read_id, strand, chrom, pos) of few reads: their probes go to the tasks that read the reference."""
+    spark, k = usable.sparkSession, index.k
+    rows = usable.select("read_id", F.substring("seq", 1, k).alias("seq")).toArrow().combine_chunks()
+    probes, ids = _probes(rows["read_id"].to_numpy(), rows["seq"].combine_chunks(), k, mismatch)
+    shared = spark.sparkContext.broadcast((probes, ids))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes, ids = shared.value
+        for b, kmers, row, off in _reference(batches, k):
+            pos = (b.column(0).to_numpy() * CHUNK)[row] + off
+            if not len(kmers):
+                continue
+            table = _Table(kmers, np.arange(len(kmers)), k)
+            for i, at, exact in table.pairs(probes, range(k if mismatch else 0), True):
+                columns = [ids[i], _strands(probes[i]), b.column(2).take(pa.array(row[at])), pos[at], np.full(len(i), exact)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["read_id", "strand", "chrom", "pos", "exact"])
+
+    found = index.chunks.select("chunk", "first", "chrom", "text").mapInArrow(look, "read_id long, strand string, chrom string, pos long, exact boolean")
+    # an equal k-mer may lie in another table; _EXACT probes have one substituted and no equal one besides
+    found = found.withColumn("any", F.max("exact").over(Window.partitionBy("read_id", "strand"))).where("exact OR NOT any")
+    return found.select("read_id", "strand", "chrom", "pos")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compress where numbers are small or in order."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+_PACKED = ["part", "side", "kmers", "of"]
+
+
+def _packed(kmers: np.ndarray, of: np.ndarray, side: int, half: np.ndarray, parts: int) -> pa.RecordBatch:
+    """One row a part: its k-mers in order, and the numbers that belong to them."""
+    part = ((half * _MIX) >> np.uint64(32)) % np.uint64(parts)
+    order = np.lexsort((kmers, part))
+    kmers, of, part = kmers[order], of[order], part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = [*cut[1:], len(part)]
+    columns = [pa.array(part[cut].astype(np.int32)), pa.array([side] * len(cut), pa.int32())]
+    columns += [pa.array([_planes(x[a:b]) for a, b in zip(cut, ends)], pa.binary()) for x in (kmers, of.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, _PACKED)
+
+
+def _many(usable: DataFrame, index: SeedIndex, mismatch: bool) -> DataFrame:
+    """(read_id, strand, chrom, pos, first, text): reads and reference meet by equal halves of k-mers.
+
+    With one base substituted the other half is exact, and both are not, so a place is found once.
+    """
+    k, spark = index.k, usable.sparkSession
+    own = stored(index.chunks.select("chunk", "first", F.monotonically_increasing_id().alias("id__"), "chrom", "text"), "chunks")
+    n = own.agg(F.sum(F.least(F.lit(CHUNK), F.length("text")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // PART))
+    half = k // 2 if mismatch else k
+    low, schema, found = k - half, "part int, side int, kmers binary, of binary", None
+    for first in (True, False) if mismatch else (True,):
+        key = (lambda x: x >> np.uint64(2 * low)) if first else (lambda x: x & np.uint64((1 << 2 * low) - 1))  # noqa: B023
+        bases = range(low) if first else range(low, k)
+
+        def reference(batches, key=key):
+            for b, kmers, row, off in _reference(batches, k):
+                if len(kmers):
+                    yield _packed(kmers, b.column(2).to_numpy()[row] * CHUNK + off, 0, key(kmers), parts)
+
+        def reads(batches, key=key, first=first):
+            waiting, size = [], 0
+            for b in batches:
+                kmers, of = _probes(b.column(0).to_numpy(), b.column(1), k, mismatch)
+                if not first:  # looked up as they are before
+                    free = (kmers & _EXACT) == 0
+                    kmers, of = kmers[free], of[free]
+                waiting.append((kmers, of))
+                size += len(kmers)
+                if size >= TABLE:
+                    yield from pack(waiting, key)
+                    waiting, size = [], 0
+            yield from pack(waiting, key)
+
+        def pack(waiting, key):
+            if sum(len(x) for x, _ in waiting):
+                kmers, of = (np.concatenate(x) for x in zip(*waiting))
+                yield _packed(kmers, of, 1, key(kmers & ~(_REVERSE | _EXACT)), parts)
+
+        def look(batches, first=first, bases=bases):
+            part, held, table = None, [], None
+            for b in batches:
+                for p, side, kmers, of in zip(*(c.to_pylist() for c in b.columns)):
+                    if p != part:
+                        part, held, table = p, [], None
+                    kmers, of = _numbers(kmers, np.uint64), _numbers(of, np.int64)
+                    if side == 0:
+                        held.append((kmers, of))
+                        continue
+                    if not held:
+                        continue
+                    if table is None:
+                        table = _Table(*(np.concatenate(x) for x in zip(*held)), k)
+                    for i, at, _ in table.pairs(kmers, bases, first):
+                        yield pa.RecordBatch.from_arrays([pa.array(of[i]), _strands(kmers[i]), pa.array(at)], ["read_id", "strand", "at"])
+
+        rows = own.select("chunk", "first", "id__", "text").mapInArrow(reference, schema)
+        rows = rows.unionByName(usable.select("read_id", F.substring("seq", 1, k).alias("seq")).mapInArrow(reads, schema))
+        rows = rows.repartition(parts, "part").sortWithinPartitions("part", "side")
+        rows = stored(rows.mapInArrow(look, "read_id long, strand string, at long"), "places")
+        found = rows if found is None else found.unionByName(rows)
+    found = found.withColumn("id__", F.floor(F.col("at") / CHUNK) if CHUNK & (CHUNK - 1) else F.shiftright("at", CHUNK.bit_length() - 1))
+    found = found.join(_shuffled(own), "id__")
+    return found.select("read_id", "strand", "chrom", (F.col("chunk") * CHUNK + F.col("at") % CHUNK).alias("pos"), "first", "text")
+
+
+def _by_text(usable: DataFrame, index: SeedIndex, mismatch: bool) -> DataFrame:
+    """(read_id, strand, chrom, pos) for k-mers of any length: equi-joins on texts."""
+    forward = usable.select("read_id", F.lit("+").alias("strand"), F.substring("seq", 1, index.k).alias("kmer"))
     reverse = forward.select("read_id", F.lit("-").alias("strand"), S.revcomp("kmer").alias("kmer"))
     both = forward.unionByName(reverse)
     found = both.join(_shuffled(index.kmers), "kmer").drop("kmer")
     if mismatch:
         bare = both.join(_shuffled(index.kmers.select("kmer")), "kmer", "left_anti")
         found = found.unionByName(_one_off(bare, index).drop("kmer"))
-    found = found.join(_shuffled(usable), "read_id")
+    return found
+
+
+def hits(reads: DataFrame, index: SeedIndex, mismatch: bool = False) -> DataFrame:
+    """Every place of every read's first k bases, extended: exact prefix ``m``, and beyond one mismatch ``m2``.
+
+    With ``mismatch``, first bases without a place on a strand are also looked up with each one substituted:
+    ``mm`` is that base (else -1), ``m`` and ``m2`` the prefix with it. ``seq`` is the read.
+    """
+    k = index.k
+    usable = reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq")).where((F.length("seq") >= k) & ~F.col("seq").contains("N"))
+    usable = stored(usable, "reads")
+    n, longest = usable.agg(F.count("*"), F.max(F.length("seq"))).first()
+    found = (_by_text if k > NUMERIC else _few if n <= FEW else _many)(usable, index, mismatch)
+    if "text" not in found.columns:
+        found = found.withColumn("chunk", F.floor(F.col("pos") / CHUNK)).join(_shuffled(index.chunks), ["chrom", "chunk"])
     ahead = F.expr(f"substring(text, int(pos - first) + 1, {MAX_READ})")
     behind = F.expr(f"substring(text, int(greatest(pos + {k} - {MAX_READ}, first) - first) + 1, int(pos + {k} - greatest(pos + {k} - {MAX_READ}, first)))")
     window = F.when(F.col("strand") == "+", ahead).otherwise(S.revcomp(behind))
-    near = found.where(F.length("seq") <= MAX_READ).withColumn("chunk", F.floor(F.col("pos") / CHUNK))
-    rows = near.join(_shuffled(index.chunks), ["chrom", "chunk"]).select("read_id", "strand", "chrom", "pos", "seq", window.alias("window"))
-    rows = rows.unionByName(_long_windows(found.where(F.length("seq") > MAX_READ), index))
+    found = found.select("read_id", "strand", "chrom", "pos", window.alias("window")).join(_shuffled(usable), "read_id")
+    rows = found.where(F.length("seq") <= MAX_READ).select("read_id", "strand", "chrom", "pos", "seq", "window")
+    if (longest or 0) > MAX_READ:
+        rows = rows.unionByName(_long_windows(found.where(F.length("seq") > MAX_READ).drop("window"), index))
     return rows.mapInArrow(lambda batches: _extend(batches, k), _HIT)
 
 
@@ -162,8 +413,8 @@ def seed_align(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mis
     ``max_align`` > 0 drops reads with more places than that.
     """
     rows = _places(reads, index, allow_mismatch)
-    rows = rows.groupBy("read_id", "strand", "mismatch_at", "alt", "prefix_len").agg(F.count("*").alias("n_loci"))
-    return _finished(rows, reads, max_align, "n_loci").select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci")
+    rows = rows.groupBy("read_id", "strand", "mismatch_at", "alt", "prefix_len").agg(F.count("*").alias("n_loci"), F.first("seq").alias("seq"))
+    return _finished(rows, max_align, "n_loci").select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci")
 
 
 def seed_loci(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mismatch: bool = True) -> DataFrame:
@@ -178,32 +429,31 @@ def seed_loci(reads: DataFrame, index: SeedIndex, max_align: int = 0, allow_mism
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
     each = rows.alias("a").join(_shuffled(counts.alias("b")), (F.col("a.read_id") == F.col("b.read_id")) & same[1] & same[2] & same[3] & same[4]).select("a.*", "b.n_loci")
     pos = F.when(F.col("strand") == "+", F.col("pos")).otherwise(F.col("pos") + index.k - F.col("prefix_len"))
-    each = _finished(each.withColumn("pos", pos), reads, max_align, "1")
+    each = _finished(each.withColumn("pos", pos), max_align, "1")
     return each.select("read_id", "strand", "prefix_len", "mismatch_at", "alt", "tail", "n_loci", "chrom", "pos")
 
 
 def _places(reads: DataFrame, index: SeedIndex, allow_mismatch: bool) -> DataFrame:
-    """(read_id, strand, mismatch_at, alt, prefix_len, chrom, pos): places of the records; ``pos`` is the seed's."""
-    found = hits(reads, index, allow_mismatch)
-    names = ["read_id", "strand", "mismatch_at", "alt", "prefix_len", "chrom", "pos"]
+    """(read_id, strand, mismatch_at, alt, prefix_len, chrom, pos, seq): places of the records; ``pos`` is the seed's."""
+    found = stored(hits(reads, index, allow_mismatch), "hits")  # read three times
+    names = ["read_id", "strand", "mismatch_at", "alt", "prefix_len", "chrom", "pos", "seq"]
     inside, found = found.where("mm >= 0"), found.where("mm < 0")
     top = Window.partitionBy("read_id", "strand")
     at = found.withColumn("top", F.max("m").over(top)).where("m = top")
     if not allow_mismatch:
-        return at.select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos")
+        return at.select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos", "seq")
     # a place that passes a mismatch stands for its read and strand, by other base the farthest ones
     at = at.withColumn("far", F.max("m2").over(Window.partitionBy("read_id", "strand", "alt"))).withColumn("any", F.max(F.col("alt").isNotNull()).over(top))
-    passed = at.where("alt IS NOT NULL AND m2 = far").select("read_id", "strand", F.col("m").alias("mismatch_at"), "alt", F.col("far").alias("prefix_len"), "chrom", "pos")
-    whole = at.where("NOT any").select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos")
+    passed = at.where("alt IS NOT NULL AND m2 = far").select("read_id", "strand", F.col("m").alias("mismatch_at"), "alt", F.col("far").alias("prefix_len"), "chrom", "pos", "seq")
+    whole = at.where("NOT any").select("read_id", "strand", F.lit(None).cast("int").alias("mismatch_at"), F.lit(None).cast("string").alias("alt"), F.col("m").alias("prefix_len"), "chrom", "pos", "seq")
     # of places with a base of the seed substituted those with the shortest tail
     best = inside.withColumn("top", F.max("m").over(top)).where("m = top")
-    best = best.select("read_id", "strand", F.col("mm").alias("mismatch_at"), "alt", F.col("m").alias("prefix_len"), "chrom", "pos")
+    best = best.select("read_id", "strand", F.col("mm").alias("mismatch_at"), "alt", F.col("m").alias("prefix_len"), "chrom", "pos", "seq")
     return whole.select(names).unionByName(passed.select(names)).unionByName(best.select(names))
 
 
-def _finished(rows: DataFrame, reads: DataFrame, max_align: int, weight: str) -> DataFrame:
+def _finished(rows: DataFrame, max_align: int, weight: str) -> DataFrame:
     """``rows`` with ``tail``, without reads of more than ``max_align`` places."""
-    rows = rows.join(_shuffled(reads.select("read_id", F.upper("seq").alias("seq"))), "read_id")
     rows = rows.withColumn("tail", F.expr("substring(seq, prefix_len + 1)")).drop("seq")
     if max_align > 0:
         many = rows.groupBy("read_id").agg(F.sum(F.expr(weight)).alias("t")).where(F.col("t") > max_align)

@@ -273,6 +273,46 @@ def test_seed_alignment_with_mismatch_in_the_seed_and_long_reads(spark):
     assert rows[1] == ("+", 300) and rows[3] == ("-", 400) and rows[4] == ("-", 3000) and rows[5] == ("+", 300) and rows[2][1] >= 3900
 
 
+def test_seed_look_ups_agree(spark, monkeypatch):
+    r = random.Random(31)
+    contigs = [dna(r, 700), "A" * 90 + dna(r, 60), dna(r, 2300)[:1100] + "N" + dna(r, 1100), "ACGT"]
+    contigs.append(contigs[0][100:300])
+    flip = lambda s, i: s[:i] + r.choice("ACGT".replace(s[i], "")) + s[i + 1 :]
+    reads = []
+    for i in range(150):
+        c = r.choice(contigs[:3] + contigs[4:])
+        p = r.randrange(len(c) - 50)
+        s = c[p : p + r.randint(8, 50)]
+        s = rc(s) if i % 2 else s
+        for _ in range(i % 4):
+            s = flip(s, r.randrange(len(s)))
+        reads.append((i, s[:5] + "R" + s[6:] if i % 10 == 9 else s.lower() if i % 10 == 8 else s))
+    table = seeds.build_index(spark.createDataFrame([(f"c{i}", c) for i, c in enumerate(contigs)], "chrom string, seq string"), 12)
+    df = spark.createDataFrame([*reads, (500, "A" * 40), (501, None), (502, "")], "read_id long, seq string")
+    want = set()
+    for i, s in [*((i, s.upper()) for i, s in reads), (500, "A" * 40)]:
+        for strand in "+-" if len(s) >= 12 and "N" not in s else "":
+            seed = s[:12] if strand == "+" else S_revcomp(s[:12])
+            far = [(sum(x != y for x, y in zip(seed, c[p : p + 12])), f"c{j}", p) for j, c in enumerate(contigs) for p in range(len(c) - 11) if "N" not in c[p : p + 12]]
+            best = [x for x in far if x[0] == 0] or [x for x in far if x[0] == 1]
+            want |= {(i, strand, c, p) for _, c, p in best}
+    usable = df.selectExpr("read_id", "upper(seq) AS seq").where("length(seq) >= 12 AND NOT contains(seq, 'N')")
+    joined = {tuple(x) for x in seeds._by_text(usable, table, True).select("read_id", "strand", "chrom", "pos").collect()}
+    assert joined == want and len(want) > 200
+    for look in (seeds._few, seeds._many):
+        got = [tuple(x) for x in look(usable, table, True).select("read_id", "strand", "chrom", "pos").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        exact = {tuple(x) for x in look(usable, table, False).select("read_id", "strand", "chrom", "pos").collect()}
+        assert exact == {tuple(x) for x in seeds._by_text(usable, table, False).select("read_id", "strand", "chrom", "pos").collect()}
+    rows = sorted(map(str, seeds.seed_align(df, table).collect()))
+    for name, value in (("FEW", -1), ("NUMERIC", 0)):
+        monkeypatch.setattr(seeds, name, value)
+        assert sorted(map(str, seeds.seed_align(df, table).collect())) == rows
+    # k-mers with an equal half are not joined: such pairs grow with the square of the tables
+    monkeypatch.undo()
+    assert "levenshtein" not in seeds.seed_align(df, table)._jdf.queryExecution().toString()
+
+
 def test_index_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([("c", "ACGTTGCAAGGCTTACGATTTGC")], "chrom string, seq string")
     table = modes.build(contigs, 8, str(tmp_path / "idx"))
