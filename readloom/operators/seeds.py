@@ -486,5 +486,8 @@ def merged(rows: DataFrame) -> DataFrame:
 
 
 def sample(reads: DataFrame, n: int, ordinal: str = "read_id") -> DataFrame:
-    """The first ``n`` reads by ordinal."""
+    """The first ``n`` reads by ordinal; the last one's is found first, so only these reads are sorted whole."""
+    last = reads.select(ordinal).orderBy(ordinal).limit(n).agg(F.max(ordinal)).first()[0]
+    if last is not None:
+        reads = reads.where(F.col(ordinal).isNull() | (F.col(ordinal) <= last))
     return reads.orderBy(ordinal).limit(n)

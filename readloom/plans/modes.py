@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..operators import adapter, disposition, kmers, overlap, seeds
 from ..storage import stored
 from .views import ADAPTER1, ADAPTER2
 
-SAMPLE = 10_000
+SAMPLE, BATCHES = 10_000, 3
 
 
 @dataclass
@@ -31,11 +32,20 @@ def build(contigs: DataFrame, k: int, path: str | None = None) -> seeds.SeedInde
     return seeds.load_index(contigs.sparkSession, path, k)
 
 
-def detect_single(reads: DataFrame, index: seeds.SeedIndex, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, least_tails: int = 3000, batches: int = 3) -> tuple[str, bool]:
-    """Adapter of single reads from the tails that do not align: up to three samples until 3,000 tails."""
+def first_reads(reads: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The largest sample of ``detect_single``, written once."""
+    return stored(seeds.sample(reads.select("read_id", "seq"), SAMPLE * batches), "sample")
+
+
+def detect_single(reads: DataFrame, index: seeds.SeedIndex, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, least_tails: int = 3000, batches: int = BATCHES, sampled: DataFrame | None = None) -> tuple[str, bool]:
+    """Adapter of single reads from the tails that do not align: up to three samples until 3,000 tails.
+
+    ``sampled`` has the largest sample's ``read_id`` and ``seq``, if several seed lengths share it.
+    """
+    sampled = first_reads(reads, batches) if sampled is None else sampled
     n, found = SAMPLE, None
     for i in range(batches):
-        part = seeds.sample(reads, n * (i + 1))
+        part = seeds.sample(sampled, n * (i + 1))
         rows = seeds.seed_align(part, index, max_align, allow_mismatch).where(F.length("tail") > 0)
         found = stored(seeds.merged(rows).select("tail"), "tails")  # counted here, then gone through for each k
         if i == batches - 1 or found.count() >= least_tails:
@@ -52,9 +62,9 @@ def trim_known(reads: DataFrame, text: str, epsilon: float = 0.2, low_complexity
     return Trimmed(disposition.dispose(found, F.col("a__.pos"), **options).drop("a__"), text, low_complexity)
 
 
-def single(reads: DataFrame, index: seeds.SeedIndex, default: str = ADAPTER1, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, **options) -> Trimmed:
+def single(reads: DataFrame, index: seeds.SeedIndex, default: str = ADAPTER1, prune_factor: float = 0.03, sensitive: bool = False, max_align: int = 0, allow_mismatch: bool = True, sampled: DataFrame | None = None, **options) -> Trimmed:
     """Detect the adapter of single reads, then trim; the default adapter if none is found."""
-    text, low = detect_single(reads, index, prune_factor, sensitive, max_align, allow_mismatch)
+    text, low = detect_single(reads, index, prune_factor, sensitive, max_align, allow_mismatch, sampled=sampled)
     return trim_known(reads, text or default, low_complexity=low, **options)
 
 
@@ -77,13 +87,22 @@ def paired(pairs: DataFrame, min_length: int = 0, adapters: tuple[str, str] | No
 
 
 def small_rna(reads: DataFrame, contigs: DataFrame, seed_lengths=range(18, 21), default: str = ADAPTER1, prune_factor: float = 0.1, **options) -> tuple[Trimmed, DataFrame]:
-    """Try seed lengths and keep the one that trims most reads; ties go to the longest."""
-    spark, runs, percents = reads.sparkSession, {}, []
-    for k in seed_lengths:
-        runs[k] = single(reads, build(contigs, k), default, prune_factor, **options)
-        percents.append((k, disposition.trimmed_percent(runs[k].reads).first()["percent"]))
-    best = disposition.best_seed(spark.createDataFrame(percents, "seed_len int, percent double"))
-    return runs[best.first()["seed_len"]], best
+    """Try seed lengths and keep the one that trims most reads; ties go to the longest.
+
+    All share one sample of reads. Trimming depends on the adapter only: seed lengths that find the same one trim
+    the same reads, and all reads are gone through to compare adapters, not seed lengths.
+    """
+    sampled = first_reads(reads)
+    runs = {k: single(reads, build(contigs, k), default, prune_factor, sampled=sampled, **options) for k in seed_lengths}
+    lengths: dict[str, list[int]] = {}
+    for k, run in runs.items():
+        lengths.setdefault(run.adapter, []).append(k)
+    percents = [disposition.trimmed_percent(runs[ks[0]].reads) for ks in lengths.values()]
+    if len(lengths) > 1:
+        percents = [reads.sparkSession.createDataFrame([(x.first()["percent"],)], "percent double") for x in percents]
+    each = [x.select(F.explode(F.array(*map(F.lit, ks))).alias("seed_len"), "percent") for x, ks in zip(percents, lengths.values())]
+    best = disposition.best_seed(functools.reduce(DataFrame.unionByName, each))
+    return runs[best.first()["seed_len"] if len(lengths) > 1 else max(runs)], best
 
 
 def paired_separate(pairs: DataFrame, adapters1: list[str], adapters2: list[str], min_len: int = 18, **options) -> DataFrame:

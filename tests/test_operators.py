@@ -313,6 +313,24 @@ def test_seed_look_ups_agree(spark, monkeypatch):
     assert "levenshtein" not in seeds.seed_align(df, table)._jdf.queryExecution().toString()
 
 
+def test_small_rna_goes_through_reads_once_for_an_adapter(spark):
+    r = random.Random(41)
+    inserts = [dna(r, r.randint(20, 40)) for _ in range(300)]
+    contigs = spark.createDataFrame([(f"c{i}", s + dna(r, 30)) for i, s in enumerate(inserts)], "chrom string, seq string")
+    made, seen = spark.createDataFrame([(i, f"r{i}", (s + ADAPTER1 + "A" * 60)[:75], "I" * 75) for i, s in enumerate(inserts)], "read_id long, name string, seq string, qual string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    done, best = modes.small_rna(made.mapInArrow(counted, made.schema), contigs, (18, 20), min_len=18)
+    assert done.adapter[:20] == ADAPTER1[:20] and done.reads.where("tag = 'NORMAL' AND pos BETWEEN 18 AND 41").count() == 300
+    assert seen.value <= 4 * 300  # ids of the sample, the sample, trimming; each seed length went through them again
+    x = best.first()
+    assert x["seed_len"] == 20 and x["percent"] == 100
+
+
 def test_index_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([("c", "ACGTTGCAAGGCTTACGATTTGC")], "chrom string, seq string")
     table = modes.build(contigs, 8, str(tmp_path / "idx"))
